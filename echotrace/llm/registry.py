@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import cdc_dedup, decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_cdc_substring_dedup": cdc_dedup.op10_cdc_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -31,3 +31,11 @@ def forget(df: DataFrame) -> None:
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of stages whose result has been written."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
