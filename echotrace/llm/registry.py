@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc_dedup, decontaminate
+from . import cdc_dedup, decontaminate, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_cdc_substring_dedup": cdc_dedup.op10_cdc_substring_dedup,
 }
