@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spans import FLAG, cut, earliest_in_batch, keyed, pack
+from .spans import FLAG, SPAN, cut, earliest_in_batch, keyed, pack
 from .store import release, written
 from .textkit import blocks, mix, prefix_hash, span_hash
 
@@ -102,8 +102,8 @@ def chunk_rows(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
 
 def copies(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int = BITS) -> DataFrame:
     """(__id, at) of every chunk that has an earlier equal."""
-    if not 32 <= least <= most < FLAG:
-        raise ValueError(f"32 <= least <= most < {FLAG} must hold")
+    if not 32 <= least <= most <= SPAN:
+        raise ValueError(f"32 <= least <= most <= {SPAN} must hold")
     rows = chunk_rows(docs, least, most, bits)
     # any row of a digest's group after the first is a copy; flagged rows stand alone under a key of their own
     before = F.lag("at").over(Window.partitionBy("h1", "h2").orderBy("__id", "at"))

@@ -3,8 +3,8 @@
 A document is known by ``__id`` (its doc_id; null counts as the smallest) and
 ``__dup``, which numbers different texts under one doc_id in the order of their
 hashes and is 0 otherwise.  Rows that repeat both are one document and get the same
-result.  A span is packed into one long: dup (15 bits), start (36), flag (1),
-length (11), so that packed spans sort by dup and start.
+result.  A span is packed into one long: dup (15 bits), start (36), two flags,
+length (10), so that packed spans sort by dup and start.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FLAG = 1 << 11
-SPAN = FLAG - 1
+FLAG, SELF = 1 << 11, 1 << 10
+SPAN = SELF - 1
 _NULL_ID = -(2**63)
 
 

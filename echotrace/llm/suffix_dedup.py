@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spans import FLAG, SPAN, cut, earliest_in_batch, keyed, pack, start_of
+from .spans import FLAG, SELF, SPAN, cut, earliest_in_batch, keyed, pack, start_of
 from .store import release, written
 from .textkit import BLOCK, buffers, mix, prefix_hash, span_hash, window_hash
 
@@ -51,13 +51,14 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - span)], h[w - span :]) if w > span else h
 
 
-def segments(data: np.ndarray, off: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start in data, bytes, minimizer, digest) of the segments of a block."""
+def segments(data: np.ndarray, off: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
+    """(text, start in data, bytes, minimizer, digest, may hold a window twice) of the segments of a block."""
     none = np.zeros(0, np.int64)
     if len(data) < k:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
     s = prefix_hash(data)
-    least = sliding_min(mix(window_hash(s, m), _SEED), k - m + 1)
+    h = mix(window_hash(s, m), _SEED)
+    least = sliding_min(h, k - m + 1)
     sizes = np.maximum(np.diff(off) - k + 1, 0)
     valid = np.zeros(len(least) + 1, np.int8)  # one past the last window of each text may be the end
     has = np.flatnonzero(sizes)
@@ -77,7 +78,12 @@ def segments(data: np.ndarray, off: np.ndarray, k: int = K, m: int = M) -> tuple
         at, run = np.repeat(at, parts) + nth * most, np.minimum(np.repeat(run, parts) - nth * most, most)
     size = run + k - 1
     digest = mix(span_hash(prefix_hash(data ^ np.uint8(0x5A)), at, at + size) ^ size.astype(np.uint64), 3)
-    return np.searchsorted(off, at, "right") - 1, at, size, least[at], digest
+    # a window that recurs within a segment brings its minimizer along: neighbouring minimizers are then equal
+    ends = np.concatenate((np.zeros(most - 1, np.uint64), least, np.zeros(most - 1, np.uint64)))
+    places = np.flatnonzero(h == ~sliding_min(~ends, most))
+    again = np.flatnonzero((h[places[1:]] == h[places[:-1]]) & (np.diff(places) < most))
+    twice = np.searchsorted(places[again], at) < np.searchsorted(places[again + 1], at + size - m, "right")
+    return np.searchsorted(off, at, "right") - 1, at, size, least[at], digest, twice
 
 
 def pieces(column: pa.Array, k: int):
@@ -103,8 +109,8 @@ def segment_rows(docs: DataFrame, k: int, m: int) -> DataFrame:
             ids, dups = batch.column("__id").to_numpy(), batch.column("__dup").to_numpy().astype(np.int64)
             found = []
             for lo, data, off, shift in pieces(batch.column("text"), k):
-                doc, at, size, h1, h2 = segments(data, off, k, m)
-                found.append((h1, h2, ids[lo + doc], pack(dups[lo + doc], at - off[doc] + shift, size)))
+                doc, at, size, h1, h2, twice = segments(data, off, k, m)
+                found.append((h1, h2, ids[lo + doc], pack(dups[lo + doc], at - off[doc] + shift, size) | (twice * SELF)))
             if not found:
                 continue
             h1, h2, who, at = (np.concatenate(x) for x in zip(*found))
@@ -270,8 +276,8 @@ def copied_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, collec
     by = Window.partitionBy("h1").orderBy("h2", "__id", "at")
     every = Window.partitionBy("h1")
     flagged = F.col("at").bitwiseAND(FLAG) != 0
-    rows = rows.select("h1", "__id", "at", (flagged | F.coalesce(F.lag("h2").over(by) == F.col("h2"), F.lit(False))).alias("copy"), (F.min("h2").over(every) != F.max("h2").over(every)).alias("several"))
-    found = written(rows.filter("copy OR several").select("h1", "__id", F.col("at").bitwiseAND(~FLAG).alias("at"), "copy"), "suffix-segments")
+    rows = rows.select("h1", "__id", "at", (flagged | F.coalesce(F.lag("h2").over(by) == F.col("h2"), F.lit(False))).alias("copy"), ((F.min("h2").over(every) != F.max("h2").over(every)) | (F.col("at").bitwiseAND(SELF) != 0)).alias("several"))
+    found = written(rows.filter("copy OR several").select("h1", "__id", F.col("at").bitwiseAND(~(FLAG | SELF)).alias("at"), "copy"), "suffix-segments")
     release(docs.sparkSession)
 
     rest = found.filter("NOT copy").select("h1", "__id", "at")
