@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc_dedup, decontaminate, suffix_dedup
+from . import cdc_dedup, decontaminate, language_id, sentencepiece_codec, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op3_language_mixture": language_id.op3_language_mixture,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_cdc_substring_dedup": cdc_dedup.op10_cdc_substring_dedup,

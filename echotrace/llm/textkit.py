@@ -100,13 +100,18 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 
+#: Bytes of letters, with everything beyond ASCII.
+LETTER = WORD.copy()
+LETTER[48:58] = False
+
+
 class Words:
     """The words of a block: where they start and end, hashes of their lower-cased bytes, and their texts."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, of: np.ndarray = WORD):
         self.data, self.off = data, off
         self.low = LOWER[data]
-        inside = WORD[data]
+        inside = of[data]
         edge = np.empty(len(data) + 1, bool)
         edge[0], edge[-1] = True, True
         np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
