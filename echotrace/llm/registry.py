@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc_dedup, decontaminate, language_id, quality, sentencepiece_codec, suffix_dedup, token_counts
+from . import ann, cdc_dedup, decontaminate, language_id, quality, sentencepiece_codec, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op3_language_mixture": language_id.op3_language_mixture,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_token_histogram": token_counts.op5_token_histogram,
+    "op7_ivf_pq_neighbours": ann.op7_ivf_pq_neighbours,
     "op8_quality_attention": quality.op8_quality_attention,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_cdc_substring_dedup": cdc_dedup.op10_cdc_substring_dedup,
