@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, cdc_dedup, decontaminate, language_id, quality, sentencepiece_codec, suffix_dedup, token_counts
+from . import ann, cdc_dedup, decontaminate, language_id, minhash, quality, sentencepiece_codec, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op2_minhash_classes": minhash.op2_minhash_classes,
     "op3_language_mixture": language_id.op3_language_mixture,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_token_histogram": token_counts.op5_token_histogram,
