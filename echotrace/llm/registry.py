@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, cdc_dedup, decontaminate, language_id, minhash, quality, sentencepiece_codec, suffix_dedup, token_counts
+from . import ann, cdc_dedup, decontaminate, language_id, line_dedup, minhash, quality, sentencepiece_codec, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_mixture": language_id.op3_language_mixture,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_token_histogram": token_counts.op5_token_histogram,
+    "op6_line_runs": line_dedup.op6_line_runs,
     "op7_ivf_pq_neighbours": ann.op7_ivf_pq_neighbours,
     "op8_quality_attention": quality.op8_quality_attention,
     "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_runs": line_dedup.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
