@@ -171,3 +171,34 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_mod(F.col("doc_id"), 4) == 2
     model = train(docs.filter(~held_out))
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "shares")
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text has a letter and fits a learned language better than chance.
+
+    Chance is the uniform distribution over trigram buckets; the fit is the mean
+    log-likelihood per trigram under the proportions that expectation-maximisation finds.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs))
+    chance = -BITS * float(np.log(2))
+
+    def run(batches):
+        own = Model(*held.value)
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for lo, _, data, off in blocks(batch.column("text")):
+                w = Words(data, off, LETTER)
+                on = np.flatnonzero(w.count)
+                if not len(on) or not own.languages:
+                    continue
+                logs = own.word_logs(w)
+                count = w.count[on]
+                top = logs.max(axis=0)
+                share = np.repeat(mixture(logs, count), count, axis=1)
+                fit = np.log(np.maximum((share * np.exp(logs - top)).sum(axis=0), 1e-30)) + top
+                first = np.concatenate(([0], np.cumsum(count)[:-1]))
+                mean = np.add.reduceat(fit, first) / np.add.reduceat(w.end - w.start, first)
+                keep[lo + on] = (mean > chance) & has_letter(data, off)[on]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
