@@ -22,11 +22,14 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .store import written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern of that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPAN = 4096
+SPAN = 256
 #: A text is encoded in parts of at most about this many characters, cut where the pattern cuts anyway.
 PART = 1 << 20
 
@@ -68,8 +71,6 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTER
             n = [sum(len(encoder.encode_ordinary(p)) for p in parts(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(n, pa.int64())], [*names, "n_tokens"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())]))
 
 
@@ -126,4 +127,4 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op5_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return suffix_sums(written(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-histogram"))
