@@ -158,11 +158,8 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node bigint, s binary")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets are at least that similar."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = written(_sets_of(docs.join(wanted, "node", "left_semi").dropDuplicates(["node"])), "minhash-sets")
-    release(docs.sparkSession)
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
 
     def run(batches):
@@ -207,8 +204,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     buckets = reps.select("node", "n", F.explode("keys").alias("key"))
     members = written(buckets.join(_pivots(buckets).filter("members > 1"), "key"), "minhash-buckets")
     release(spark)
+    # the sets of all that share a bucket, once for all passes; texts are moved by one plan at every size
+    sharing = members.select("node").distinct().hint("merge")
+    sets = written(_sets_of(texts.join(sharing, "node", "left_semi").dropDuplicates(["node"])), "minhash-sets")
+    release(spark)
     checked = written(_pairs(members, similarity), "minhash-pairs")
-    links = written(_linked(checked, texts, similarity), "minhash-links")
+    links = written(_linked(checked, sets, similarity), "minhash-links")
     release(spark)
     roots = components(links)
     for _ in range(passes):
@@ -220,7 +221,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         fresh = written(_pairs(again, similarity).join(checked, ["u", "v"], "left_anti"), "minhash-pairs")
         if fresh.isEmpty():
             break
-        found = written(_linked(fresh, texts, similarity), "minhash-links")
+        found = written(_linked(fresh, sets, similarity), "minhash-links")
         checked = checked.unionByName(fresh)
         release(spark)
         if found.isEmpty():
