@@ -62,13 +62,13 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def runs(copies: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(__id, __dup, runs) with the maximal runs of deleted lines of each document, in order."""
+    """(__id, __dup, __runs) with the maximal runs of deleted lines of each document, in order."""
     own = Window.partitionBy("__id", "__dup").orderBy("pos")
     begins = F.coalesce(F.col("pos") > F.lag("pos").over(own) + min_lines, F.lit(True))
     starts = copies.select(*PLACE, begins.alias("begins"))
     numbered = starts.withColumn("run", F.sum(F.col("begins").cast("int")).over(own))
     each = numbered.groupBy("__id", "__dup", "run").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines - 1).alias("end"))
-    return each.groupBy("__id", "__dup").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    return each.groupBy("__id", "__dup").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__runs"))
 
 
 def with_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -76,7 +76,7 @@ def with_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     found = written(runs(later_copies(docs, min_lines), min_lines), "line-runs")
     release(docs.sparkSession)
     both = docs.join(found, ["__id", "__dup"], "left")
-    both = both.withColumn("__lines", F.split("text", "\n")).withColumn("__runs", F.coalesce("runs", F.array().cast("array<struct<start: int, end: int>>")))
+    both = both.withColumn("__lines", F.split("text", "\n")).withColumn("__runs", F.coalesce("__runs", F.array().cast("array<struct<start: int, end: int>>")))
     count = F.size("__runs")
 
     def between(k):
@@ -86,7 +86,7 @@ def with_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         return F.slice("__lines", start + 1, F.greatest(end - start, F.lit(0)))
 
     kept = F.when(count == 0, F.col("__lines")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), count), between)))
-    return both.withColumn("__kept", kept).drop("runs")
+    return both.withColumn("__kept", kept)
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = False) -> DataFrame:

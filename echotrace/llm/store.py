@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (as in tests), a folder of this run."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """This application's folder under the session's spark.checkpoint.dir; where that is unset (as in tests), one of its own."""
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not found:
-        found = tempfile.mkdtemp(prefix="echotrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        found = _own[app] = tempfile.mkdtemp(prefix="echotrace-")
+    return f"{found.rstrip('/')}/echotrace-{app}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -24,6 +27,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that this application has written; results that still read them become invalid."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession
