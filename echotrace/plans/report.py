@@ -34,7 +34,7 @@ def ranked(segments: DataFrame) -> DataFrame:
     value = F.col("score") * duration()
     pair = segments.groupBy("a", "b").agg(F.max("z_score").alias("z"), F.max(duration()).alias("dur"), F.max(value).alias("best")) if "z_score" in segments.columns else segments.groupBy("a", "b").agg(F.lit(None).cast("double").alias("z"), F.lit(0.0).alias("dur"), F.max(value).alias("best"))
     order = Window.orderBy(F.desc_nulls_last("z"), F.desc("dur"), F.desc("best"), "a", "b")
-    return segments.join(pair.select("a", "b", F.row_number().over(order).alias("rank")), ["a", "b"])
+    return segments.drop("rank").join(pair.select("a", "b", F.row_number().over(order).alias("rank")), ["a", "b"])
 
 
 def ordered_segments(segments: DataFrame) -> DataFrame:
