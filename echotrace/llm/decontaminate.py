@@ -87,15 +87,14 @@ def item_blocks(items: DataFrame, max_bytes: int = MAX_BLOCK_BYTES) -> Iterator[
     yield block
 
 
-def _scan_block(docs: DataFrame, held, n: int, spans: bool = False) -> DataFrame:
-    """docs with __n_words, __n_hit, __items and __bits (the covered words), or __spans (their bytes), added.
+def _scan_block(docs: DataFrame, held) -> DataFrame:
+    """docs with __n_words, __n_hit, __items and __bits (the covered words) added.
 
     Marks that docs already holds in __items and __bits are merged.
     """
     keep = [f for f in docs.schema.fields if f.name not in ("__n_words", "__n_hit", "__items", "__bits")]
     names, again = [f.name for f in keep], "__bits" in docs.columns
-    last = T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))) if spans else T.StructField("__bits", T.BinaryType())
-    schema = T.StructType([*keep, T.StructField("__n_words", T.LongType()), T.StructField("__n_hit", T.LongType()), T.StructField("__items", T.ArrayType(T.StringType())), last])
+    schema = T.StructType([*keep, T.StructField("__n_words", T.LongType()), T.StructField("__n_hit", T.LongType()), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__bits", T.BinaryType())])
 
     def scan(batches):
         windows = held.value
@@ -113,18 +112,11 @@ def _scan_block(docs: DataFrame, held, n: int, spans: bool = False) -> DataFrame
                     own = hit[a:b]
                     any_hit = bool(own.any())
                     n_hit.append(int(own.sum()) if any_hit else 0)
-                    if not spans:
-                        marks.append(np.packbits(own).tobytes() if any_hit else b"")
-                    elif any_hit:
-                        step = np.diff(np.concatenate(([0], own.astype(np.int8), [0])))
-                        first, final = np.flatnonzero(step == 1) + a, np.flatnonzero(step == -1) - 1 + a
-                        marks.append([{"start": int(w.start[i] - off[k]), "end": int(w.end[j] - off[k])} for i, j in zip(first, final)])
-                    else:
-                        marks.append([])
+                    marks.append(np.packbits(own).tobytes() if any_hit else b"")
                 n_words.append(w.count)
                 items += [sorted(x) for x in found]
             counts = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            added = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])) if spans else pa.binary())]
+            added = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in names] + added, [f.name for f in schema])
 
     return docs.mapInArrow(scan, schema)
@@ -139,7 +131,7 @@ def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = WINDOW
     docs, marked = docs.select("doc_id", "text"), None
     for block in item_blocks(items, max_block_bytes):
         docs = docs if marked is None else written(marked, "decontaminate")
-        marked = _scan_block(docs, spark.sparkContext.broadcast(WindowSet(block, n)), n)
+        marked = _scan_block(docs, spark.sparkContext.broadcast(WindowSet(block, n)))
     return marked.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__items").alias("items"))
 
 
@@ -148,35 +140,44 @@ def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = WIND
 
     In span mode a document of which more than max_hit_share of the words are hit is
     dropped whole.  All columns are kept; rows without a hit are returned unchanged.
+    Beyond one block of test items, what a pass leaves is written to the shared folder.
     """
-    names = docs.columns
+    share, out = max_hit_share if mode == "span" else 0.0, None
     for block in item_blocks(items, max_block_bytes):
-        held = spark.sparkContext.broadcast(WindowSet(block, n))
-        marked = _scan_block(docs, held, n, spans=True)
-        if mode == "document":
-            docs = marked.filter("__n_hit = 0").select(*names)
-            continue
-        kept = marked.filter(F.col("__n_hit") <= max_hit_share * F.col("__n_words"))
-        docs = _cut(kept, names)
-    return docs
-
-
-def _cut(marked: DataFrame, names: list[str]) -> DataFrame:
-    def cut(batches):
+        docs = docs if out is None else written(out, "decontaminate")
+        out = _removed(docs, spark.sparkContext.broadcast(WindowSet(block, n)), share)
+    return out
+
+
+def _removed(docs: DataFrame, held, share: float) -> DataFrame:
+    names = docs.columns
+
+    def run(batches):
+        windows = held.value
         for batch in batches:
-            column, texts = batch.column("text"), None
-            spans = batch.column("__spans").to_pylist()
-            if any(spans):
+            keep, changed = np.ones(batch.num_rows, bool), {}
+            for lo, _, data, off in blocks(batch.column("text")):
+                w = Words(data, off)
+                hit, _ = windows.hits(w)
+                total = np.concatenate(([0], np.cumsum(hit)))
+                n_hit = total[w.first[1:]] - total[w.first[:-1]]
+                for k in np.flatnonzero(n_hit).tolist():
+                    keep[lo + k] = n_hit[k] <= share * w.count[k]
+                    if keep[lo + k]:
+                        own = np.arange(w.first[k], w.first[k + 1])[hit[w.first[k] : w.first[k + 1]]]
+                        gap = own[1:] != own[:-1] + 1
+                        first, last = own[np.concatenate(([True], gap))], own[np.concatenate((gap, [True]))]
+                        begins, ends = [int(off[k]), *w.end[last].tolist()], [*w.start[first].tolist(), int(off[k + 1])]
+                        changed[lo + k] = b"".join(data[a:b].tobytes() for a, b in zip(begins, ends)).decode()
+            column = batch.column("text")
+            if changed:
                 texts = column.to_pylist()
-                for i, found in enumerate(spans):
-                    if found:
-                        raw = texts[i].encode()
-                        ends = [0, *(x["end"] for x in found)]
-                        texts[i] = b"".join(raw[a:b] for a, b in zip(ends, [*(x["start"] for x in found), len(raw)])).decode()
+                for i, text in changed.items():
+                    texts[i] = text
                 column = pa.array(texts, column.type)
-            yield pa.RecordBatch.from_arrays([column if k == "text" else batch.column(k) for k in names], names)
+            yield pa.RecordBatch.from_arrays([column if c == "text" else batch.column(c) for c in names], names).filter(pa.array(keep))
 
-    return marked.mapInArrow(cut, T.StructType([marked.schema[k] for k in names]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,8 @@ def model_bytes(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFrame:
-    """docs with ids (array<int>) and n_tokens added; check also decodes and adds round_trip."""
+    """docs with ids (array<int>) and n_tokens added; check also decodes and adds round_trip. Columns of those names are replaced."""
+    docs = docs.drop("ids", "n_tokens", "round_trip")
     held = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *[T.StructField("round_trip", T.BooleanType())] * check])
@@ -220,7 +221,8 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded, with the texts of its ids added as decoded."""
+    """encoded, with the texts of its ids added as decoded (a column of that name is replaced)."""
+    encoded = encoded.drop("decoded")
     held = encoded.sparkSession.sparkContext.broadcast(model_bytes(model))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
