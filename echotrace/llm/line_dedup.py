@@ -32,17 +32,21 @@ MIN_LINES = 2
 PLACE = ("__id", "__dup", "pos")
 
 
-def ranked(pairs: DataFrame, with_first: bool = False) -> DataFrame:
-    """(a, b, rank) of the (a, b) that occur more than once; with_first adds the earliest place."""
-    first = [F.min(F.struct(*PLACE)).alias("first")] * with_first
-    groups = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), *first).filter("n > 1").drop("n")
+def ranked(pairs: DataFrame) -> DataFrame:
+    """(a, b, rank) of the (a, b) that occur more than once, ranked in their order."""
+    groups = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     return groups.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
 
 
+def intervals(pairs: DataFrame) -> DataFrame:
+    """(a, b, first) of the (a, b) that occur more than once, with their earliest place."""
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1").drop("n")
+
+
 def deepened(places: DataFrame, step: int) -> DataFrame:
-    """Places with the ranks (a, b) here and step lines on."""
-    ahead = places.select("__id", "__dup", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
-    return places.withColumnRenamed("rank", "a").join(ahead, list(PLACE))
+    """Places with the ranks (a, b) here and step lines on, where both have one."""
+    there = Window.partitionBy("__id", "__dup").orderBy("pos").rangeBetween(step, step)
+    return places.select(*PLACE, F.col("rank").alias("a"), F.max("rank").over(there).alias("b")).filter("b IS NOT NULL")
 
 
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -52,12 +56,13 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     pairs = written(rows.select(*PLACE, F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b")), "line-ids")
     depth = 1
     while depth < min_lines:
-        places = written(pairs.join(ranked(pairs), ["a", "b"]).select(*PLACE, "rank"), "line-ranks")
         step = min(depth, min_lines - depth)
-        pairs = written(deepened(places, step), "line-pairs")
+        pairs = deepened(pairs.join(ranked(pairs), ["a", "b"]).select(*PLACE, "rank"), step)
         depth += step
-        release(docs.sparkSession)
-    final = pairs.join(ranked(pairs, with_first=True).select("a", "b", "first"), ["a", "b"])
+        if depth < min_lines:  # the last round's shuffle is used twice by one plan
+            pairs = written(pairs, "line-pairs")
+            release(docs.sparkSession)
+    final = pairs.join(intervals(pairs), ["a", "b"])
     return final.filter(F.struct(*PLACE) != F.col("first")).select(*PLACE)
 
 
