@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import written
+from .textkit import lean
 
 K, MAX_FIT, SUBSPACES, RERANK, TARGET, CELL = 20, 16_384, 16, 32, 0.96, 4096
 SLACK = 2.0
@@ -159,7 +160,7 @@ def search(vectors: DataFrame, is_query, k: int = K, max_fit: int = MAX_FIT, rer
             near, codes, error = held.value.codes(x)
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)], ["list", "vec_id", "v", "codes", "error"])
 
-    coded = written(v.mapInArrow(assign, "list int, vec_id bigint, v binary, codes binary, error float"), "ann-lists")
+    coded = written(v.mapInArrow(lean(assign), "list int, vec_id bigint, v binary, codes binary, error float"), "ann-lists")
 
     def per_list(df: DataFrame) -> np.ndarray:
         out = np.zeros(len(index.centre), np.int64)
@@ -179,7 +180,7 @@ def search(vectors: DataFrame, is_query, k: int = K, max_fit: int = MAX_FIT, rer
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), batch.column("query_id").take(times), batch.column("v").take(times)], ["list", "query_id", "v"])
 
     queries = coded.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    visits = queries.mapInArrow(visit, "list int, query_id bigint, v binary")
+    visits = queries.mapInArrow(lean(visit), "list int, query_id bigint, v binary")
     parts, blocks = (-(-np.maximum(n, 1) // cell) for n in (sizes, per_list(visits)))
 
     def of_list(n: np.ndarray):

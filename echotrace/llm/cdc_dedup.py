@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .spans import FLAG, SPAN, cut, earliest_in_batch, keyed, pack
 from .store import release, written
-from .textkit import blocks, mix, prefix_hash, span_hash
+from .textkit import blocks, lean, mix, prefix_hash, span_hash
 
 LEAST, MOST, BITS = 40, 256, 5
 #: One 32-bit gear value for each byte.
@@ -97,7 +97,7 @@ def chunk_rows(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
             h1, at = earliest_in_batch(h1, h2, who, at)
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(who), pa.array(at)], ["h1", "h2", "__id", "at"])
 
-    return docs.select("__id", "__dup", "text").mapInArrow(run, "h1 bigint, h2 bigint, __id bigint, at bigint")
+    return docs.select("__id", "__dup", "text").mapInArrow(lean(run), "h1 bigint, h2 bigint, __id bigint, at bigint")
 
 
 def copies(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int = BITS) -> DataFrame:

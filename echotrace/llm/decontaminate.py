@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import written
-from .textkit import Words, blocks, buffers
+from .textkit import Words, blocks, buffers, lean
 
 WINDOW = 10
 MAX_BLOCK_BYTES = 32 << 20
@@ -119,7 +119,7 @@ def _scan_block(docs: DataFrame, held) -> DataFrame:
             added = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in names] + added, [f.name for f in schema])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lean(scan), schema)
 
 
 def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
@@ -177,7 +177,7 @@ def _removed(docs: DataFrame, held, share: float) -> DataFrame:
                 column = pa.array(texts, column.type)
             yield pa.RecordBatch.from_arrays([column if c == "text" else batch.column(c) for c in names], names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import LETTER, Words, blocks, crc32_mod
+from .textkit import LETTER, Words, blocks, crc32_mod, lean
 
 BITS = 16
 SMOOTHING = 0.5
@@ -111,7 +111,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "bucket", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(lean(run), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame) -> Model:
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang = pa.array(["und" if p < 0 else x for p, x in zip(pred.tolist(), lang.to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lang, pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "shares"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, shares map<string, double>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, shares map<string, double>")
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,4 +201,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
                 keep[lo + on] = (mean > chance) & has_letter(data, off)[on]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

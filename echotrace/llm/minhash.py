@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .spans import _NULL_ID, keyed
 from .store import release, written
-from .textkit import Words, blocks, mix
+from .textkit import Words, blocks, lean, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, PASSES = 28, 6, 2
@@ -142,7 +142,7 @@ def _sets_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__dup"), pa.array(np.concatenate(n_all).astype(np.int32)), pa.array(np.concatenate(d1_all).view(np.int64)), pa.array(np.concatenate(d2_all).view(np.int64)), keys], ["__id", "__dup", "n", "d1", "d2", "keys"])
 
-    return docs.select("__id", "__dup", "text").mapInArrow(run, "__id bigint, __dup int, n int, d1 bigint, d2 bigint, keys array<bigint>")
+    return docs.select("__id", "__dup", "text").mapInArrow(lean(run), "__id bigint, __dup int, n int, d1 bigint, d2 bigint, keys array<bigint>")
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
                 edge = np.searchsorted(doc, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([element[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["node", "s"])
 
-    return docs.select("node", "text").mapInArrow(run, "node bigint, s binary")
+    return docs.select("node", "text").mapInArrow(lean(run), "node bigint, s binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -173,7 +173,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], ["u", "v"])
 
-    return both.mapInArrow(run, "u bigint, v bigint")
+    return both.mapInArrow(lean(run), "u bigint, v bigint")
 
 
 PIVOTS = ("first", "last", "small", "large")

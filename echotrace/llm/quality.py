@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import Words, blocks, crc32_mod
+from .textkit import Words, blocks, crc32_mod, lean
 
 PASSAGE = 48
 FEATURES, CODE, HIDDEN = 4096, 48, 32
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
                     rows.append(x[at].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(ys)], ["x", "y"])
 
-    found = sample(docs, labels, label, max_train).mapInArrow(run, "x binary, y double").toPandas()
+    found = sample(docs, labels, label, max_train).mapInArrow(lean(run), "x binary, y double").toPandas()
     bags = [np.frombuffer(x, np.float32).reshape(-1, CODE + N_DENSE) for x in found["x"]]
     order = np.argsort([b.sum(dtype=np.float64) for b in bags], kind="stable")  # the rows come in any order
     net.fit([bags[i] for i in order], found["y"].to_numpy()[order])
@@ -199,7 +199,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             parts = [held.value.score(data, off) for _, _, data, off in blocks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double")
 
 
 def op8_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:

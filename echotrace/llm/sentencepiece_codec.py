@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkit import lean
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Paths of chunks that a worker remembers before it starts anew.
@@ -217,7 +219,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
                     added.append(pa.array([None if a is None else a == b for a, b in zip(texts, codec.decode_lists(ids).to_pylist())], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), *added], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -232,7 +234,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             ids = batch.column("ids").cast(pa.large_list(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, codec.decode_lists(ids).cast(pa.string())], [f.name for f in schema])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

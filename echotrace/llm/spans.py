@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textkit import lean, mix
+
 FLAG, SELF = 1 << 11, 1 << 10
 SPAN = SELF - 1
 _NULL_ID = -(2**63)
@@ -47,8 +49,6 @@ def earliest_in_batch(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.nd
     already, so they are flagged and take a hash of their own place as key.  However
     many copies a piece has, a batch sends one row of it to the piece's reducer.
     """
-    from .textkit import mix
-
     with np.errstate(over="ignore"):
         both = mix(h1 ^ (h2 * np.uint64(0xD6E8FEB86659FD93)))
         place = mix(ids.view(np.uint64) * np.uint64(0xA0761D6478BD642F) + at.view(np.uint64))
@@ -105,4 +105,4 @@ def cut(docs: DataFrame, spans: DataFrame, text: bool = False) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: len(cols) + 1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    return both.select("doc_id", "text", "__dup", "__at").mapInArrow(apply, schema)
+    return both.select("doc_id", "text", "__dup", "__at").mapInArrow(lean(apply), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .spans import FLAG, SELF, SPAN, cut, earliest_in_batch, keyed, pack, start_of
 from .store import release, written
-from .textkit import BLOCK, buffers, mix, prefix_hash, span_hash, window_hash
+from .textkit import BLOCK, buffers, lean, mix, prefix_hash, span_hash, window_hash
 
 K, M = 100, 32
 #: Segments of one minimizer beyond which it is split; segments of one construction.
@@ -117,7 +117,7 @@ def segment_rows(docs: DataFrame, k: int, m: int) -> DataFrame:
             h1, at = earliest_in_batch(h1, h2, who, at)
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(who), pa.array(at)], ["h1", "h2", "__id", "at"])
 
-    return docs.select("__id", "__dup", "text").mapInArrow(run, "h1 bigint, h2 bigint, __id bigint, at bigint")
+    return docs.select("__id", "__dup", "text").mapInArrow(lean(run), "h1 bigint, h2 bigint, __id bigint, at bigint")
 
 
 def transform(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +313,7 @@ def copied_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, collec
                 ["__id", "at", "d1", "d2", "rep"],
             )
 
-    built = written(fetched.mapInArrow(construct, "__id bigint, at bigint, d1 bigint, d2 bigint, rep boolean"), "suffix-spans")
+    built = written(fetched.mapInArrow(lean(construct), "__id bigint, at bigint, d1 bigint, d2 bigint, rep boolean"), "suffix-spans")
     release(docs.sparkSession)
     before = F.lag("at").over(Window.partitionBy("d1", "d2").orderBy("__id", "at"))
     across = built.filter("rep").select("__id", "at", before.isNotNull().alias("copy")).filter("copy")
@@ -342,7 +342,7 @@ def _fetch(docs: DataFrame) -> DataFrame:
                 pick = pa.array(some)
                 yield pa.RecordBatch.from_arrays([flat.field("h1").take(pick), flat.field("part").take(pick), batch.column("__id").take(pa.array(row[some])), pa.array(at), data], ["h1", "part", "__id", "at", "bytes"])
 
-    return docs.select("__id", "__dup", "text", "__want").mapInArrow(run, "h1 bigint, part int, __id bigint, at bigint, bytes binary")
+    return docs.select("__id", "__dup", "text", "__want").mapInArrow(lean(run), "h1 bigint, part int, __id bigint, at bigint, bytes binary")
 
 
 def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, text: bool = False) -> DataFrame:

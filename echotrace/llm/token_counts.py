@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import written
+from .textkit import lean
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern of that vocabulary.
@@ -71,7 +72,7 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTER
             n = [sum(len(encoder.encode_ordinary(p)) for p in parts(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(n, pa.int64())], [*names, "n_tokens"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())]))
 
 
 def histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -86,7 +87,7 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATT
         keys = sorted(seen)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["n_tokens", "n_docs"])
 
-    return docs.select("text").mapInArrow(run, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").mapInArrow(lean(run), "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(hist: DataFrame, span: int = SPAN) -> DataFrame:
