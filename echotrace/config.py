@@ -21,7 +21,7 @@ class Settings:
     min_frame_std: float = 18.0
     # neighbours
     knn: int = 10
-    block_rows: int = 4096
+    block_rows: int | None = None
     exclude_same_video: bool = False
     # match clouds and robust lines
     min_pair_matches: int = 20

@@ -8,6 +8,8 @@ result is exact.  Similarities are compared at six decimals, ties go to the smal
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,13 +40,30 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[keep], col[keep]
 
 
-def topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 4096, exclude_same_video: bool = False) -> DataFrame:
+#: Bytes of one side of a cell as doubles.
+BLOCK_BYTES = 64 << 20
+
+
+def block_count(rows: int, dim: int, cores: int, block_rows: int | None) -> int:
+    """Into how many blocks to deal rows: each side is sent once for every block of the other, so few and large ones.
+
+    Tables too small to fill the cores with such blocks are dealt into smaller ones.
+    """
+    if block_rows is not None:
+        return max(1, -(-rows // block_rows))
+    large = -(-rows * dim * 8 // BLOCK_BYTES)
+    return max(1, large, min(math.ceil(math.sqrt(2 * cores)), -(-rows // 1024)))
+
+
+def topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int | None = None, exclude_same_video: bool = False) -> DataFrame:
     """(src, tgt, sim, rank): the k corpus rows with the largest inner product of every query row.
 
     Both need frame_id and embedding (and video_id for exclude_same_video); a frame that is
     in both finds itself.  With fewer than k corpus rows there are fewer neighbours.
     """
-    n_q, n_c = (max(1, -(-df.count() // block_rows)) for df in (queries, corpus))
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    shapes = [df.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first() for df in (queries, corpus)]
+    n_q, n_c = (block_count(n, dim, cores, block_rows) for n, dim in shapes)
     cols = ["frame_id", "embedding", *["video_id"] * exclude_same_video]
     block = lambda n: F.pmod(F.xxhash64("frame_id"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

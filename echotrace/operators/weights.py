@@ -11,12 +11,13 @@ from ..functions.scalar import clip_power
 from .knn import matrix
 
 
-def self_redundancy(frames: DataFrame, p: float, block_rows: int = 4096) -> DataFrame:
+def self_redundancy(frames: DataFrame, p: float, block_rows: int | None = None) -> DataFrame:
     """(frame_id, rho): the sum of max(0, sim)**p over all frames of the own video, itself included.
 
-    A video of more than block_rows frames is split into blocks, and each pair of blocks is
-    a cell that sends one partial sum for each of its frames.
+    A video of more than block_rows frames (8,192 if None) is split into blocks, and each pair
+    of blocks is a cell that sends one partial sum for each of its frames.
     """
+    block_rows = block_rows or 8192
     blocks = frames.groupBy("video_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
     rows = frames.join(blocks, "video_id").select("video_id", "frame_id", "embedding", "n", F.pmod(F.xxhash64("frame_id"), "n").cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
