@@ -37,8 +37,8 @@ def smooth_segments_sql(frames: DataFrame, s: Settings, neighbours: DataFrame |
     # read by several branches below: kept where memory allows, else on disk
     pairs, samples = pairs.persist(), voting.sampled(frames, s.max_frames).persist()
     shape, cells = voting.geometry(pairs, samples, s), voting.cells(pairs, samples, s).persist()
-    null = voting.null_votes(cells, voting.permuted(pairs, samples, s.n_perm), shape, s)
-    tested = voting.significance(voting.line_votes(cells, shape, s), null, shape, s)
+    null = voting.null_votes(cells, voting.permuted(pairs, samples, s.n_perm), shape, s).persist()
+    tested = voting.significance(voting.line_votes(cells, shape, s), null, shape, s).persist()
     return extent.gated(tested, extent.extent(extent.nearest_in_time(cells, tested, s.tau), s.min_tube_sim), s)
 
 
