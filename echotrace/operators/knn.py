@@ -26,18 +26,27 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best of every row of rounded similarities; ids ascend."""
-    n = sims.shape[1]
-    if n > 4 * k:  # everything not below the k-th best value, then the exact order
-        bar = np.partition(sims, n - k, axis=1)[:, n - k]
-        row, col = np.nonzero(sims >= bar[:, None])
-    else:
-        row, col = (x.ravel() for x in np.indices(sims.shape))
-    order = np.lexsort((col, -sims[row, col], row))
-    row, col = row[order], col[order]
+def best(y: np.ndarray, x: np.ndarray, k: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of y, row of x, similarity) of the k rows of x with the largest rounded inner product for each row of y.
+
+    Earlier rows of x win ties.  One single-precision product finds all that could be among
+    the best, by the error bound of such a product; those are multiplied again in double.
+    barred marks pairs that do not count.
+    """
+    rough = y.astype(np.float32) @ x.astype(np.float32).T
+    if barred is not None:
+        rough[barred] = -np.inf
+    n = rough.shape[1]
+    length = lambda v: np.sqrt((v * v).sum(axis=1))
+    slack = (x.shape[1] * 2.0**-22 * length(y) * length(x).max(initial=0) + 2e-6).astype(np.float32)
+    bar = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(y), -np.inf, np.float32)
+    row, col = np.nonzero((rough >= (bar - slack)[:, None]) & (rough > -np.inf))
+    sims = np.concatenate([np.einsum("ij,ij->i", y[row[i : i + 65536]], x[col[i : i + 65536]]) for i in range(0, len(row), 65536)]) if len(row) else np.zeros(0)
+    sims = np.round(sims, 6) + 0.0
+    order = np.lexsort((col, -sims, row))
+    row, col, sims = row[order], col[order], sims[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], col[keep]
+    return row[keep], col[keep], sims[keep]
 
 
 #: Bytes of one side of a cell as doubles.
@@ -76,15 +85,11 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int | None =
             return pa.table(empty)
         order = np.argsort(c.column("frame_id").to_numpy(), kind="stable")
         ids, x, src, y = c.column("frame_id").to_numpy()[order], matrix(c.column("embedding"))[order], q.column("frame_id").to_numpy(), matrix(q.column("embedding"))
-        out = []
-        for lo in range(0, len(y), 512):
-            sims = np.round(y[lo : lo + 512] @ x.T, 6) + 0.0
-            if exclude_same_video:
-                own, other = q.column("video_id").to_numpy()[lo : lo + 512], c.column("video_id").to_numpy()[order]
-                sims[own[:, None] == other] = -np.inf
-            row, col = _best(sims, ids, k)
-            ok = sims[row, col] > -np.inf
-            out.append((src[lo + row[ok]], ids[col[ok]], sims[row, col][ok]))
+        own, other = (q.column("video_id").to_numpy(), c.column("video_id").to_numpy()[order]) if exclude_same_video else (None, None)
+        out, step = [], max(1, min(1024, (1 << 24) // len(x)))
+        for lo in range(0, len(y), step):
+            row, col, sims = best(y[lo : lo + step], x, k, own[lo : lo + step, None] == other if exclude_same_video else None)
+            out.append((src[lo + row], ids[col], sims))
         a, b, s = (np.concatenate(z) for z in zip(*out))
         return pa.table({"src": pa.array(a, pa.int64()), "tgt": pa.array(b, pa.int64()), "sim": pa.array(s)})
 
