@@ -11,11 +11,11 @@ weighted Jaccard similarity.  The near-duplicate query gives every shingle the w
 
 Equal sets collapse to one representative before anything is joined.  The signatures of
 representatives are cut into bands; in each bucket of a band, every member is paired
-with up to four pivots (the least and greatest id, the smallest and largest set), so
-pairs grow linearly with a bucket.  Pairs are checked exactly on their shingle sets, and
-linked pairs are joined to classes.  Up to ``passes`` further passes take the buckets
-whose members lie in several classes: all members are paired with pivots from outside
-the class of the least root, and pairs not checked before are.
+with the one of least id, so pairs grow linearly with a bucket.  Pairs are checked exactly
+on their shingle sets, and linked pairs are joined to classes.  Up to ``passes`` further
+passes take the buckets whose members lie in several classes: all members are paired with
+four pivots from outside the class of the least root (the least and greatest id, the
+smallest and largest set), and pairs not checked before are checked.
 
 Defined results: texts without a word (null and empty ones too) are classes of their
 own; rows that repeat doc_id and text are one document; the class id is the least doc_id
@@ -185,11 +185,15 @@ def _pivots(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("members"), *[how(by).alias(name) for name, how, by in zip(PIVOTS, (F.min, F.max, F.min, F.max), (by_id, by_id, by_size, by_size))])
 
 
-def _pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v), u < v, of members and the pivots beside them whose set sizes allow the similarity."""
-    each = members.select("node", "n", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"{p}.node").alias("p"), F.col(f"{p}.n").alias("pn")) for p in PIVOTS]))).alias("x"))
-    fits = (F.col("x.p") != F.col("node")) & (F.least("n", "x.pn") >= similarity * F.greatest("n", "x.pn") - 1e-9)
-    return each.filter(fits).select(F.least("node", "x.p").alias("u"), F.greatest("node", "x.p").alias("v")).distinct()
+def _pairs(members: DataFrame, pivots: tuple[str, ...], similarity: float) -> DataFrame:
+    """Distinct (u, v), u < v, of members and the named pivots beside them whose set sizes allow the similarity."""
+    if len(pivots) == 1:
+        each = members.select("node", "n", F.col(f"{pivots[0]}.node").alias("p"), F.col(f"{pivots[0]}.n").alias("pn"))
+    else:
+        some = F.array_distinct(F.array(*[F.struct(F.col(f"{p}.node").alias("p"), F.col(f"{p}.n").alias("pn")) for p in pivots]))
+        each = members.select("node", "n", F.explode(some).alias("x")).select("node", "n", "x.p", "x.pn")
+    fits = (F.col("p") != F.col("node")) & (F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-9)
+    return each.filter(fits).select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, passes: int = PASSES) -> DataFrame:
@@ -208,7 +212,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     sharing = members.select("node").distinct().hint("merge")
     sets = written(_sets_of(texts.join(sharing, "node", "left_semi").dropDuplicates(["node"])), "minhash-sets")
     release(spark)
-    checked = written(_pairs(members, similarity), "minhash-pairs")
+    checked = written(_pairs(members, PIVOTS[:1], similarity), "minhash-pairs")
     links = written(_linked(checked, sets, similarity), "minhash-links")
     release(spark)
     roots = components(links)
@@ -218,7 +222,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         several = known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key", "a")
         known = written(known.join(several, "key"), "minhash-several")
         again = known.join(_pivots(known.filter("root <> a")).drop("members"), "key")
-        fresh = written(_pairs(again, similarity).join(checked, ["u", "v"], "left_anti"), "minhash-pairs")
+        fresh = written(_pairs(again, PIVOTS, similarity).join(checked, ["u", "v"], "left_anti"), "minhash-pairs")
         if fresh.isEmpty():
             break
         found = written(_linked(fresh, sets, similarity), "minhash-links")
@@ -256,3 +260,15 @@ def op2_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(docs)
     shown = F.when(F.col("class_id") != _NULL_ID, F.col("class_id")).alias("class_id")
     return docs.select("doc_id", "__id", "__dup").join(found, ["__id", "__dup"]).select("doc_id", shown, (F.col("__id") != F.col("class_id")).alias("is_copy"))
+
+
+#: Exact: all pairs that share a shingle, and the closure of their links.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r AS (SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.a)
+SELECT a AS doc_id, min(root) AS class_id, min(root) <> a AS is_copy FROM r GROUP BY a
+"""
