@@ -170,7 +170,7 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = crc32_mod(F.col("doc_id"), 4) == 2
     model = train(docs.filter(~held_out))
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "shares")
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_classes": minhash.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
     "op6_line_runs": line_dedup.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }

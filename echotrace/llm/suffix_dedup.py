@@ -353,3 +353,19 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, text: bool =
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+c AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM w),
+m AS (SELECT doc_id, i AS a, i + 100 AS b, lag(i + 100) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c WHERE n > 1),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM m),
+r AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM r),
+p AS (SELECT doc_id, a AS place, substr(h, 2 * last + 1, 2 * (a - last)) AS piece FROM e JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, 9223372036854775807, substr(h, 2 * coalesce(b, 0) + 1) FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM r GROUP BY doc_id) USING (doc_id)),
+k AS (SELECT doc_id, string_agg(piece, '' ORDER BY place) AS kept FROM p GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, (len(h) - len(kept)) // 2 AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id) USING (doc_id)
+"""
