@@ -14,8 +14,8 @@ representatives are cut into bands; in each bucket of a band, every member is pa
 with the one of least id, so pairs grow linearly with a bucket.  Pairs are checked exactly
 on their shingle sets, and linked pairs are joined to classes.  Up to ``passes`` further
 passes take the buckets whose members lie in several classes: all members are paired with
-four pivots from outside the class of the least root (the least and greatest id, the
-smallest and largest set), and pairs not checked before are checked.
+two pivots from outside the class of the least root (the least id and the largest set,
+then the greatest id and the smallest set), and pairs not checked before are checked.
 
 Defined results: texts without a word (null and empty ones too) are classes of their
 own; rows that repeat doc_id and text are one document; the class id is the least doc_id
@@ -176,7 +176,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(lean(run), "u bigint, v bigint")
 
 
+#: Members of a bucket that others are paired with: by least and greatest id, by smallest and largest set.
 PIVOTS = ("first", "last", "small", "large")
+#: Those of the first pass, and of each further one.
+BY_PASS = (("first",), ("first", "large"), ("last", "small"))
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
@@ -212,17 +215,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     sharing = members.select("node").distinct().hint("merge")
     sets = written(_sets_of(texts.join(sharing, "node", "left_semi").dropDuplicates(["node"])), "minhash-sets")
     release(spark)
-    checked = written(_pairs(members, PIVOTS[:1], similarity), "minhash-pairs")
+    checked = written(_pairs(members, BY_PASS[0], similarity), "minhash-pairs")
     links = written(_linked(checked, sets, similarity), "minhash-links")
     release(spark)
     roots = components(links)
-    for _ in range(passes):
+    for pivots in BY_PASS[1 : passes + 1]:
         # of a bucket with several classes, pair all members with pivots from outside the class of the least root
         known = members.filter("members > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key", "a")
         known = written(known.join(several, "key"), "minhash-several")
         again = known.join(_pivots(known.filter("root <> a")).drop("members"), "key")
-        fresh = written(_pairs(again, PIVOTS, similarity).join(checked, ["u", "v"], "left_anti"), "minhash-pairs")
+        fresh = written(_pairs(again, pivots, similarity).join(checked, ["u", "v"], "left_anti"), "minhash-pairs")
         if fresh.isEmpty():
             break
         found = written(_linked(fresh, sets, similarity), "minhash-links")
