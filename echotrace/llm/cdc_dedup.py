@@ -76,7 +76,7 @@ def chunk_rows(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, dups = batch.column("__id").to_numpy(), batch.column("__dup").to_numpy().astype(np.int64)
+            ids = batch.column("__id").to_numpy()
             h1, h2, who, at = [], [], [], []
             for lo, _, data, off in blocks(batch.column("text")):
                 doc, start, end = chunks(data, off, least, most, bits)
@@ -90,14 +90,14 @@ def chunk_rows(docs: DataFrame, least: int, most: int, bits: int) -> DataFrame:
                 h1.append(a[whole])
                 h2.append(b[whole])
                 who.append(ids[lo + doc[whole]])
-                at.append(pack(dups[lo + doc[whole]], (start - off[doc])[whole], (end - start)[whole]))
+                at.append(pack((start - off[doc])[whole], (end - start)[whole]))
             if not h1:
                 continue
             h1, h2, who, at = map(np.concatenate, (h1, h2, who, at))
             h1, at = earliest_in_batch(h1, h2, who, at)
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(who), pa.array(at)], ["h1", "h2", "__id", "at"])
 
-    return docs.select("__id", "__dup", "text").mapInArrow(lean(run), "h1 bigint, h2 bigint, __id bigint, at bigint")
+    return docs.select("__id", "text").mapInArrow(lean(run), "h1 bigint, h2 bigint, __id bigint, at bigint")
 
 
 def copies(docs: DataFrame, least: int = LEAST, most: int = MOST, bits: int = BITS) -> DataFrame:

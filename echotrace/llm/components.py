@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step rewires edges towards the least neighbour; when nothing changes, every node
-points at the least node of its component.  Each round is written to the shared folder,
-so lineage stays short and lost executors cost one round.
+points at the least node of its component.  Each half round is written to the shared
+folder, so lineage stays short and lost executors cost one step.  A node with very many
+neighbours is joined where its edges are (see ``joins``).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import join_common
 from .store import forget, release, written
 
 
@@ -18,20 +20,25 @@ def _shape(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _starred(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u."""
+    return join_common(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], "n", total).drop("n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (u, v); the root is the least node."""
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "edges")
     before = _shape(edges)
     while before[0]:
+        total = 2 * before[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
+        large = written(_starred(both, total).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct(), "edges-large")
+        small = _starred(large, total)
         step = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         old, edges = edges, written(step, "edges")
         forget(old)
+        forget(large)
         release(edges.sparkSession)
         after = _shape(edges)
         if after == before:

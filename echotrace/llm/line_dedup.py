@@ -4,16 +4,18 @@
    starts no repeated run and takes no further part.
 2. Doubling: the rank of the 2h lines from a place is that of the pair (rank of the
    first h lines, rank of the next h).  Only pairs that occur more than once are ranked,
-   so each round handles the places that still repeat.  Ranks follow the order of the
-   pairs: distinct pairs are range-partitioned and sorted, and numbered in place, so no
-   rank needs a sort of all places and no hot pair lands in one task.  A depth that is
-   not a power of two is reached by two overlapping halves.
-3. Places with equal rank at depth ``min_lines`` form an interval of the suffix array
-   whose common prefixes are at least that long.  The earliest place of an interval (by
-   doc_id, then position) is the original; at every other one ``min_lines`` lines are a
-   later copy.  Overlapping copies merge to maximal repeated runs, and those are deleted.
-
-Documents do not share runs across their borders.  Lines end at ``\\n``.
+   so each round handles the places that still repeat, and the rounds go on until none
+   does.  Ranks follow the order of the pairs: distinct pairs are range-partitioned and
+   sorted, and numbered in place, so no rank needs a sort of all places.  Where doubling
+   would pass ``min_lines``, two overlapping halves meet it exactly.
+3. The places of one rank at depth h are neighbours in the suffix array: an interval
+   whose common prefixes are at least h lines long.  Intervals of depth ``min_lines`` or
+   more show the repeated runs.  The earliest place of an interval (by doc_id, then
+   position) is the original; every other one starts a later copy of h lines.  The
+   copies of all depths merge to maximal repeated runs, and those are deleted.
+
+Documents do not share runs across their borders.  Lines end at ``\\n``.  Pairs that
+hold a large part of a round's places are ranked where these are (see ``joins``).
 
 Defined results: null text has no line and stays null; an empty text is one empty line;
 rows that repeat doc_id and text are one document; a text of which every line is deleted
@@ -22,65 +24,88 @@ is empty; extra columns are kept by ``dedup``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .joins import join_common
 from .spans import keyed
-from .store import release, written
+from .store import forget, release, written
 
 MIN_LINES = 2
-PLACE = ("__id", "__dup", "pos")
+#: Places of a round from which its common pairs are joined where they are; fewer rows are one small shuffle.
+SMALL = 100_000
+PLACE = ("__id", "pos")
 
 
-def ranked(pairs: DataFrame) -> DataFrame:
-    """(a, b, rank) of the (a, b) that occur more than once, ranked in their order."""
-    groups = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+def intervals(pairs: DataFrame) -> DataFrame:
+    """(a, b, n, first, rank) of the (a, b) that occur more than once: their places' number and earliest, ranks in their order."""
+    groups = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1")
     return groups.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
 
 
-def intervals(pairs: DataFrame) -> DataFrame:
-    """(a, b, first) of the (a, b) that occur more than once, with their earliest place."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1").drop("n")
-
+def ranked(pairs: DataFrame, total: int) -> DataFrame:
+    """(place, rank, later) of the places whose pair repeats; later: not the earliest place of its interval."""
+    if total < SMALL:
+        both = pairs.join(intervals(pairs), ["a", "b"])
+    else:
+        both = join_common(pairs, written(intervals(pairs), "line-intervals"), ["a", "b"], "n", total)
+    return both.select(*PLACE, "rank", (F.struct(*PLACE) != F.col("first")).alias("later"))
 
-def deepened(places: DataFrame, step: int) -> DataFrame:
-    """Places with the ranks (a, b) here and step lines on, where both have one."""
-    there = Window.partitionBy("__id", "__dup").orderBy("pos").rangeBetween(step, step)
-    return places.select(*PLACE, F.col("rank").alias("a"), F.max("rank").over(there).alias("b")).filter("b IS NOT NULL")
 
+def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES) -> Iterator[tuple[int, DataFrame]]:
+    """Round by round, a depth and the (place, rank, later, next) of all places whose next depth lines repeat.
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(__id, __dup, pos) where min_lines lines start that also start earlier; docs must be keyed()."""
+    next is the rank of the lines after those that the next round looks at, where they repeat too.  docs must be keyed().
+    """
     line = F.col("line")
-    rows = docs.select("__id", "__dup", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    pairs = written(rows.select(*PLACE, F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b")), "line-ids")
+    rows = docs.select("__id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    pairs = first = written(rows.select(*PLACE, F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b")), "line-ids")
     depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        pairs = deepened(pairs.join(ranked(pairs), ["a", "b"]).select(*PLACE, "rank"), step)
-        depth += step
-        if depth < min_lines:  # the last round's shuffle is used twice by one plan
-            pairs = written(pairs, "line-pairs")
+    while total := pairs.count():
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
+        there = Window.partitionBy("__id").orderBy("pos").rangeBetween(step, step)
+        places = written(ranked(pairs, total).withColumn("next", F.max("rank").over(there)), "line-places")
+        if depth == 1:
+            forget(first)
+        if total >= SMALL:
             release(docs.sparkSession)
-    final = pairs.join(intervals(pairs), ["a", "b"])
-    return final.filter(F.struct(*PLACE) != F.col("first")).select(*PLACE)
+        yield depth, places
+        pairs = places.filter("next IS NOT NULL").select(*PLACE, F.col("rank").alias("a"), F.col("next").alias("b"))
+        depth += step
 
 
-def runs(copies: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(__id, __dup, __runs) with the maximal runs of deleted lines of each document, in order."""
-    own = Window.partitionBy("__id", "__dup").orderBy("pos")
-    begins = F.coalesce(F.col("pos") > F.lag("pos").over(own) + min_lines, F.lit(True))
-    starts = copies.select(*PLACE, begins.alias("begins"))
+def runs(copies: DataFrame) -> DataFrame:
+    """(__id, __runs) with the maximal runs of deleted lines of each document, in order, from (__id, pos, end) of copies."""
+    own = Window.partitionBy("__id").orderBy("pos", "end")
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    starts = copies.select("__id", "pos", "end", F.coalesce(F.col("pos") > reach, F.lit(True)).alias("begins"))
     numbered = starts.withColumn("run", F.sum(F.col("begins").cast("int")).over(own))
-    each = numbered.groupBy("__id", "__dup", "run").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines - 1).alias("end"))
-    return each.groupBy("__id", "__dup").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__runs"))
+    each = numbered.groupBy("__id", "run").agg(F.min("pos").alias("start"), (F.max("end") - 1).alias("end"))
+    return each.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__runs"))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(__id, __runs: array of (start, end)): the maximal runs that are later copies; docs must be keyed()."""
+    copies, tables = None, []
+    for depth, places in suffix_array(docs, min_lines):
+        tables.append(places)
+        if depth >= min_lines:
+            own = places.filter("later").select("__id", "pos", (F.col("pos") + depth).alias("end"))
+            copies = own if copies is None else copies.unionByName(own)
+    if copies is None:
+        return docs.select("__id", F.array().cast("array<struct<start: int, end: int>>").alias("__runs")).filter("false")
+    found = written(runs(copies), "line-runs")
+    for t in tables:
+        forget(t)
+    release(docs.sparkSession)
+    return found
 
 
 def with_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Keyed docs with __lines, __runs and __kept (the lines that stay) added."""
-    found = written(runs(later_copies(docs, min_lines), min_lines), "line-runs")
-    release(docs.sparkSession)
-    both = docs.join(found, ["__id", "__dup"], "left")
+    both = docs.join(repeated_runs(docs, min_lines), "__id", "left")
     both = both.withColumn("__lines", F.split("text", "\n")).withColumn("__runs", F.coalesce("__runs", F.array().cast("array<struct<start: int, end: int>>")))
     count = F.size("__runs")
 

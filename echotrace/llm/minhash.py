@@ -12,10 +12,18 @@ weighted Jaccard similarity.  The near-duplicate query gives every shingle the w
 Equal sets collapse to one representative before anything is joined.  The signatures of
 representatives are cut into bands; in each bucket of a band, every member is paired
 with the one of least id, so pairs grow linearly with a bucket.  Pairs are checked exactly
-on their shingle sets, and linked pairs are joined to classes.  Up to ``passes`` further
-passes take the buckets whose members lie in several classes: all members are paired with
-two pivots from outside the class of the least root (the least id and the largest set,
-then the greatest id and the smallest set), and pairs not checked before are checked.
+on their shingle sets, and linked pairs are joined to classes.
+
+Then every bucket whose members lie in several classes is searched for the links that its
+pivot has missed.  Members are dealt to blocks of about ``BLOCK``, a large class to blocks
+of its own, and two blocks meet in a cell unless they hold one class.  A cell compares odd
+sketches: the parity of a set's elements in each of 4n bits.  Two sketches differ in at
+most as many bits as the sets differ in elements, so a pair whose sketches differ in more
+than a link allows is none, and no link is lost.  The other pairs of different classes are
+checked exactly.  Of a large cell, those go first that would join all classes they can;
+its buckets are searched again with the new classes, and the last time all pairs left are
+checked.  So work is linear in a bucket that one class fills, and quadratic only in texts
+of one bucket that are not near-duplicates.
 
 Defined results: texts without a word (null and empty ones too) are classes of their
 own; rows that repeat doc_id and text are one document; the class id is the least doc_id
@@ -31,12 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .spans import _NULL_ID, keyed
-from .store import release, written
+from .joins import join_common
+from .spans import _NULL_ID, keyed, repeats
+from .store import forget, release, written
 from .textkit import Words, blocks, lean, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, PASSES = 28, 6, 2
+BANDS, ROWS = 22, 5
+#: Members of a block; rows of a cell up to which all its pairs are checked at once.
+BLOCK, SMALL = 256, 32
+#: Pairs that one copy of a pivot's set is moved for.
+SHARED = 256
 _SET_BITS = 44
 #: P(at most i darts in a unit cell).
 _POISSON = np.cumsum([np.exp(-1.0) / p for p in np.cumprod([1.0, *range(1, 16)])])
@@ -117,7 +130,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sets_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(__id, __dup, n, d1, d2, keys) of each document: set size, digest of the set, band keys."""
+    """(__id, n, d1, d2, keys) of each document: set size, digest of the set, band keys."""
 
     def run(batches):
         for batch in batches:
@@ -140,9 +153,9 @@ def _sets_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             if n_all:
                 flat = pa.array(np.concatenate(keys_all).ravel().view(np.int64))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__dup"), pa.array(np.concatenate(n_all).astype(np.int32)), pa.array(np.concatenate(d1_all).view(np.int64)), pa.array(np.concatenate(d2_all).view(np.int64)), keys], ["__id", "__dup", "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(np.concatenate(n_all).astype(np.int32)), pa.array(np.concatenate(d1_all).view(np.int64)), pa.array(np.concatenate(d2_all).view(np.int64)), keys], ["__id", "n", "d1", "d2", "keys"])
 
-    return docs.select("__id", "__dup", "text").mapInArrow(lean(run), "__id bigint, __dup int, n int, d1 bigint, d2 bigint, keys array<bigint>")
+    return docs.select("__id", "text").mapInArrow(lean(run), "__id bigint, n int, d1 bigint, d2 bigint, keys array<bigint>")
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -158,111 +171,272 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(lean(run), "node bigint, s binary")
 
 
+def groups(batches, keys: tuple[str, ...]):
+    """Tables of the sorted rows, each of whole groups of equal keys and, but for one large group, of about a batch."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = np.zeros(batch.num_rows - 1, bool)
+        for k in keys:
+            c = batch.column(k).to_numpy(zero_copy_only=False)
+            edge |= c[1:] != c[:-1]
+        if held and any(batch.column(k)[0].as_py() != held[-1].column(k)[-1].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(np.flatnonzero(edge)[-1]) + 1 if edge.any() else 0
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are at least that similar."""
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
+    """The distinct pairs (u, v) whose shingle sets are at least that similar.
+
+    The set of u is moved once for SHARED pairs, and pairs of one u go to many tasks.
+    """
+    shares = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("parts"), F.count("*").alias("n"))
+    total = pairs.count()
+    dealt = join_common(pairs, shares, ["u"], "n", total).select("u", "v", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"))
+    own = sets.select(F.col("node"), "s")
+    members = dealt.join(own.withColumnRenamed("node", "v").hint("merge"), "v").select("u", "part", "v", "s")
+    pivots = shares.join(own.withColumnRenamed("node", "u").hint("merge"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("v"), "s")
+    rows = members.unionByName(pivots).repartition("u", "part").sortWithinPartitions("u", "part", "v")
 
     def run(batches):
+        pivot = None
         for batch in batches:
             keep = []
-            for i, (a, b) in enumerate(zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist())):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+            for i, (v, s) in enumerate(zip(batch.column("v").to_pylist(), batch.column("s"))):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                if v is None:
+                    pivot = own.copy()
+                    continue
+                common = int((pivot[np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)] == own).sum())
+                if common >= similarity * (len(pivot) + len(own) - common) - 1e-9:
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], ["u", "v"])
 
-    return both.mapInArrow(lean(run), "u bigint, v bigint")
+    return rows.mapInArrow(lean(run), "u bigint, v bigint")
 
 
-#: Members of a bucket that others are paired with: by least and greatest id, by smallest and largest set.
-PIVOTS = ("first", "last", "small", "large")
-#: Those of the first pass, and of each further one.
-BY_PASS = (("first",), ("first", "large"), ("last", "small"))
+def sketch(element: np.ndarray) -> bytes:
+    """The odd sketch of a set: the parity of its elements in each of a power of two of about 4n bits."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(len(element), 1))), 8, 16))
+    return np.packbits((np.bincount((element & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """Of every bucket (key), its number of members and four of them, by partial aggregation."""
-    by_id, by_size = F.struct("node", "n"), F.struct("n", "node")
-    return rows.groupBy("key").agg(F.count("*").alias("members"), *[how(by).alias(name) for name, how, by in zip(PIVOTS, (F.min, F.max, F.min, F.max), (by_id, by_id, by_size, by_size))])
-
-
-def _pairs(members: DataFrame, pivots: tuple[str, ...], similarity: float) -> DataFrame:
-    """Distinct (u, v), u < v, of members and the named pivots beside them whose set sizes allow the similarity."""
-    if len(pivots) == 1:
-        each = members.select("node", "n", F.col(f"{pivots[0]}.node").alias("p"), F.col(f"{pivots[0]}.n").alias("pn"))
-    else:
-        some = F.array_distinct(F.array(*[F.struct(F.col(f"{p}.node").alias("p"), F.col(f"{p}.n").alias("pn")) for p in pivots]))
-        each = members.select("node", "n", F.explode(some).alias("x")).select("node", "n", "x.p", "x.pn")
-    fits = (F.col("p") != F.col("node")) & (F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-9)
-    return each.filter(fits).select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, sketch) of each set."""
 
+    def run(batches):
+        for batch in batches:
+            own = pa.array([sketch(np.frombuffer(s.as_buffer(), np.uint64)) for s in batch.column("s")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), own], ["node", "sketch"])
+
+    return sets.mapInArrow(lean(run), "node bigint, sketch binary")
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """The sketches, of size or twice as many bytes, as rows of size bytes."""
+    out = np.zeros((len(sketches), size), np.uint8)
+    for i, s in enumerate(sketches):
+        own = np.frombuffer(s, np.uint8)
+        if len(own) in (size, 2 * size):
+            out[i] = own if len(own) == size else own[:size] ^ own[size:]
+    return out.view(np.uint64)
+
+
+def near(sketches: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the pairs (i, j) of sets of n elements, the share of the difference that a link allows which the sketches show (beyond 1: no link)."""
+    width = np.array([len(s) for s in sketches])
+    out = np.full(len(i), np.inf)
+    allowed = (n[i] + n[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+    fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+    least = np.minimum(width[i], width[j])
+    for size in np.unique(least[fits]).tolist():
+        rows = folded(sketches, size)
+        at = np.flatnonzero(fits & (least == size))
+        step = max(1, (1 << 22) // size)
+        for lo in range(0, len(at), step):
+            some = at[lo : lo + step]
+            out[some] = np.bitwise_count(rows[i[some]] ^ rows[j[some]]).sum(axis=1) / allowed[some]
+    return out
+
+
+def _spanning(roots: np.ndarray, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> list[int]:
+    """Of the pairs in that order, those that join classes which the ones before them leave apart."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for p in order.tolist():
+        a, b = find(int(roots[i[p]])), find(int(roots[j[p]]))
+        if a != b:
+            parent[a] = b
+            out.append(p)
+    return out
+
+
+def search_cell(node, root, n, pivot, side, sketches: list[bytes], similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(i, j) of the pairs of a cell to be checked, and whether there are more; side is null in a cell of one block."""
+    i_all, j_all, rate_all = [], [], []
+    order = np.argsort(n, kind="stable")  # partners in size are near in this order
+    most = np.searchsorted(n[order], n[order] / similarity + 1e-6, "right")
+    step = 4096
+    for lo in range(0, len(order), step):  # rows at a time, so that pairs are few at a time
+        own = np.arange(lo, min(lo + step, len(order)))
+        for a in np.array_split(own, max(1, int((most[own] - own).sum() >> 20))):
+            count = np.maximum(most[a] - a - 1, 0)
+            i = np.repeat(a, count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            i, j = order[i], order[j]
+            ok = (root[i] != root[j]) & ~pivot[i] & ~pivot[j]
+            if side is not None:
+                ok &= side[i] != side[j]
+            i, j = i[ok], j[ok]
+            rate = near(sketches, n, i, j, similarity)
+            ok = rate <= 1
+            i_all.append(i[ok])
+            j_all.append(j[ok])
+            rate_all.append(rate[ok])
+    i, j, rate = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i_all, j_all, rate_all))
+    if every or len(node) <= SMALL:
+        return i, j, False
+    pick = _spanning(root, i, j, np.argsort(rate, kind="stable"))
+    return i[pick], j[pick], len(pick) < len(i)
+
+
+def _searched(members: DataFrame, sketches: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(u, v, key): pairs to be checked, of members (key, node, n, pivot, root) of buckets; or a key of which there are more."""
+    total = members.count()
+    by_class = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    large = F.col("c") >= BLOCK
+    per_key = by_class.groupBy("key").agg(
+        F.count("*").alias("classes"),
+        F.sum("c").alias("rows"),
+        F.ceil(F.sum(F.when(large, 0).otherwise(F.col("c"))) / BLOCK).cast("int").alias("mixed"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("root", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))))).alias("own"),
+    )
+    several = written(per_key.filter("classes > 1"), "minhash-several")
+    dealt = join_common(members, several, ["key"], "rows", total)
+    before = F.aggregate(F.filter("own", lambda x: x["root"] < F.col("root")), F.lit(0), lambda s, x: s + x["blocks"])
+    mine = F.filter("own", lambda x: x["root"] == F.col("root"))
+    count = F.aggregate("own", F.lit(0), lambda s, x: s + x["blocks"])
+    dealt = dealt.select("key", "node", "n", "pivot", "root", before.alias("before"), F.coalesce(F.get(mine, F.lit(0))["blocks"], F.lit(0)).alias("blocks"), count.alias("count"), "mixed")
+    spread = lambda column, parts: F.pmod(F.xxhash64(column), F.greatest(parts, F.lit(1))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("blocks") > 0, F.col("before") + spread("node", F.col("blocks"))).otherwise(F.col("count") + spread("root", F.col("mixed"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("count") + F.col("mixed") - 1), lambda b: (F.col("blocks") == 0) | (b < F.col("before")) | (b >= F.col("before") + F.col("blocks")))
+    with_sketch = dealt.join(sketches.hint("merge"), "node")
+    cells = with_sketch.select("key", F.explode(others).alias("other"), "block", "node", "n", "pivot", "root", "sketch")
+    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "pivot", "root", "sketch")
+    rows = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, passes: int = PASSES) -> DataFrame:
-    """(__id, __dup, class_id) of each distinct document of docs, which must be keyed()."""
+    def run(batches):
+        for table in groups(batches, ("key", "lo", "hi")):
+            key, lo, hi, block, node, n, pivot, root = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "node", "n", "pivot", "root"))
+            sketches = [s.as_py() for s in table.column("sketch")]
+            edge = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1, [len(key)]))
+            u, v, more = [], [], []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                side = None if lo[a] == hi[a] else block[a:b] == lo[a]
+                i, j, rest = search_cell(node[a:b], root[a:b], n[a:b].astype(np.int64), pivot[a:b], side, sketches[a:b], similarity, every)
+                u.append(np.minimum(node[a:b][i], node[a:b][j]))
+                v.append(np.maximum(node[a:b][i], node[a:b][j]))
+                if rest:
+                    more.append(key[a])
+            u, v = np.concatenate(u), np.concatenate(v)
+            none = pa.nulls(len(more), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(u), none]), pa.concat_arrays([pa.array(v), none]), pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(more, pa.int64())])], ["u", "v", "key"])
+
+    return rows.mapInArrow(lean(run), "u bigint, v bigint, key bigint")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(__id, __class) of each distinct document of docs, which must be keyed(): the least __id of its class."""
     spark = docs.sparkSession
-    # different texts under one doc_id are nodes of their own
-    node = F.when(F.col("__dup") == 0, F.col("__id")).otherwise(F.xxhash64("__id", "__dup"))
-    docs = docs.select("__id", "__dup", "text")
-    texts = docs.withColumn("node", node)
-    table = written(_sets_table(docs, bands, rows).withColumn("node", node), "minhash-table")
-    reps = written(table.filter("n > 0").groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min("__id").alias("least"), F.max("n").alias("n"), F.first("keys").alias("keys")), "minhash-distinct")
+    texts = docs.select("__id", "text")
+    table = written(_sets_table(texts, bands, rows), "minhash-table")
+    reps = written(table.filter("n > 0").groupBy("d1", "d2").agg(F.min("__id").alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "minhash-distinct")
     buckets = reps.select("node", "n", F.explode("keys").alias("key"))
-    members = written(buckets.join(_pivots(buckets).filter("members > 1"), "key"), "minhash-buckets")
+    pivots = written(buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("p")).filter("members > 1").select("key", "members", F.col("p.node").alias("p"), F.col("p.n").alias("pn")), "minhash-pivots")
+    members = written(join_common(buckets, pivots, ["key"], "members", bands * reps.count()), "minhash-buckets")
+    forget(pivots)
     release(spark)
     # the sets of all that share a bucket, once for all passes; texts are moved by one plan at every size
-    sharing = members.select("node").distinct().hint("merge")
-    sets = written(_sets_of(texts.join(sharing, "node", "left_semi").dropDuplicates(["node"])), "minhash-sets")
+    sharing = members.select(F.col("node").alias("__id")).distinct().hint("merge")
+    sets = written(_sets_of(texts.join(sharing, "__id", "left_semi").dropDuplicates(["__id"]).withColumnRenamed("__id", "node")), "minhash-sets")
     release(spark)
-    checked = written(_pairs(members, BY_PASS[0], similarity), "minhash-pairs")
-    links = written(_linked(checked, sets, similarity), "minhash-links")
+    fits = (F.col("p") != F.col("node")) & (F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-9)
+    checked = [written(members.filter(fits).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct(), "minhash-pairs")]
+    links = written(_linked(checked[0], sets, similarity), "minhash-links")
     release(spark)
-    roots = components(links)
-    for pivots in BY_PASS[1 : passes + 1]:
-        # of a bucket with several classes, pair all members with pivots from outside the class of the least root
-        known = members.filter("members > 2").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key", "a")
-        known = written(known.join(several, "key"), "minhash-several")
-        again = known.join(_pivots(known.filter("root <> a")).drop("members"), "key")
-        fresh = written(_pairs(again, pivots, similarity).join(checked, ["u", "v"], "left_anti"), "minhash-pairs")
-        if fresh.isEmpty():
-            break
-        found = written(_linked(fresh, sets, similarity), "minhash-links")
-        checked = checked.unionByName(fresh)
+    roots, keys, sketches = components(links), None, None
+    for last in (False, False, True):
+        open_ = members.filter("members > 2")
+        if keys is not None:
+            open_ = open_.join(keys, "key", "left_semi")
+        known = written(open_.select("key", "node", "n", (F.col("node") == F.col("p")).alias("pivot")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-known")
+        if sketches is None:
+            sketches = written(_sketches(sets), "minhash-sketches")
+        found = written(_searched(known, sketches, similarity, last), "minhash-searched")
+        fresh = found.filter("u IS NOT NULL").select("u", "v").distinct()
+        for old in checked:
+            fresh = fresh.join(old, ["u", "v"], "left_anti")
+        fresh = written(fresh, "minhash-pairs")
+        forget(known)
         release(spark)
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        roots = components(links)
-    return _named(table, reps, roots)
-
-
-def _named(table: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    grouped = reps.select("d1", "d2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = grouped.join(least, "root").select("d1", "d2", "class_id")
-    single = table.filter("n = 0").select("__id", "__dup", F.col("__id").alias("class_id"))
-    return table.filter("n > 0").join(named, ["d1", "d2"]).select("__id", "__dup", "class_id").unionByName(single).distinct()
+        checked.append(fresh)
+        more = written(_linked(fresh, sets, similarity), "minhash-links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        release(spark)
+        keys = found.filter("key IS NOT NULL").select("key").distinct()
+        if keys.isEmpty():
+            break
+    for t in (members, sets, sketches, *checked):
+        forget(t)
+    grouped = written(reps.select("d1", "d2", "node", "copies").join(roots, "node", "left").select("d1", "d2", "copies", F.coalesce("root", "node").alias("__class")), "minhash-classes")
+    named = join_common(table.filter("n > 0").select("__id", "d1", "d2"), grouped, ["d1", "d2"], "copies", table.count())
+    single = table.filter("n = 0").select("__id", F.col("__id").alias("__class"))
+    return named.select("__id", "__class").unionByName(single).distinct()
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each class: the row with the least doc_id (and text hash) stays."""
-    names = docs.columns
-    with_key = keyed(docs)
-    found = classes(with_key, similarity)
-    stays = found.groupBy("class_id").agg(F.min(F.struct("__id", "__dup")).alias("x")).select("x.__id", "x.__dup")
-    kept = with_key.join(stays, ["__id", "__dup"], "left_semi")
-    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows may repeat whole
-        kept = kept.dropDuplicates(["__id", "__dup"])
+    names, repeated = docs.columns, repeats(docs)
+    with_key = keyed(docs, repeated)
+    stays = classes(with_key, similarity).filter("__id = __class").select("__id")
+    kept = with_key.join(stays, "__id", "left_semi")
+    if repeated:  # rows may repeat whole
+        kept = kept.dropDuplicates(["__id"])
     return kept.select(*names)
 
 
 def op2_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    repeated = repeats(docs)
+    docs = keyed(docs, repeated)
     found = classes(docs)
-    shown = F.when(F.col("class_id") != _NULL_ID, F.col("class_id")).alias("class_id")
-    return docs.select("doc_id", "__id", "__dup").join(found, ["__id", "__dup"]).select("doc_id", shown, (F.col("__id") != F.col("class_id")).alias("is_copy"))
+    out = docs.select("doc_id", "__id").join(found, "__id")
+    if repeated:  # __id numbers the documents: the class is shown by its least document's doc_id
+        found = written(found, "minhash-found")
+        sizes = found.groupBy(F.col("__class").alias("__id")).agg(F.count("*").alias("n"))
+        least = sizes.join(docs.select("__id", "doc_id").distinct(), "__id").select(F.col("__id").alias("__class"), "n", F.col("doc_id").cast("bigint").alias("class_id"))
+        named = join_common(found, written(least, "minhash-least"), ["__class"], "n", found.count())
+        out = docs.select("doc_id", "__id").join(named.select("__id", "__class", "class_id"), "__id")
+    else:
+        out = out.withColumn("class_id", F.when(F.col("__class") != _NULL_ID, F.col("__class")))
+    return out.select("doc_id", "class_id", (F.col("__id") != F.col("__class")).alias("is_copy"))
 
 
 #: Exact: all pairs that share a shingle, and the closure of their links.

@@ -1,10 +1,10 @@
 """Byte spans of documents: their keys and packed form, and cutting them out of the texts.
 
-A document is known by ``__id`` (its doc_id; null counts as the smallest) and
-``__dup``, which numbers different texts under one doc_id in the order of their
-hashes and is 0 otherwise.  Rows that repeat both are one document and get the same
-result.  A span is packed into one long: dup (15 bits), start (36), two flags,
-length (10), so that packed spans sort by dup and start.
+A document is known by ``__id``: its doc_id where no doc_id repeats (null counts as the
+smallest).  Where one repeats, different texts under one doc_id are different documents,
+and ``__id`` numbers the distinct (doc_id, hash of the text) in their order, so that it
+still sorts as doc_id does.  Rows that repeat both are one document and get the same
+result.  A span is packed into one long: start (41 bits), two flags, length (10).
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .textkit import lean, mix
 
 FLAG, SELF = 1 << 11, 1 << 10
@@ -23,23 +24,34 @@ SPAN = SELF - 1
 _NULL_ID = -(2**63)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __id and __dup; only where a doc_id repeats does this cost a join."""
+def repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id stands in more than one row of docs."""
+    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, repeated: bool | None = None) -> DataFrame:
+    """docs with __id; repeated says whether a doc_id repeats, if that is known.
+
+    Only where one does, this costs a sort of the distinct documents' hashes and a join.
+    Both go by doc_id and text, so many texts under one doc_id, or none, are dealt out.
+    """
     docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)))
-    if docs.groupBy("__id").count().filter("count > 1").isEmpty():
-        return docs.withColumn("__dup", F.lit(0))
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = docs.select("__id", h.alias("__h")).distinct()
-    keys = keys.withColumn("__dup", F.row_number().over(Window.partitionBy("__id").orderBy("__h")) - 1)
-    return docs.withColumn("__h", h).join(keys, ["__id", "__h"]).drop("__h")
+    if not (repeats(docs) if repeated is None else repeated):
+        return docs
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.withColumn("__h", F.xxhash64(text)).withColumn("__g", F.xxhash64(F.lit("second"), text, F.col("text").isNull()))
+    by = ("__id", "__h", "__g")
+    keys = docs.select(*by).distinct().repartitionByRange(*by).sortWithinPartitions(*by)
+    keys = written(keys.withColumn("__key", F.monotonically_increasing_id()), "document-keys")
+    return docs.join(keys.hint("merge"), list(by)).drop(*by).withColumnRenamed("__key", "__id")
 
 
-def pack(dup, start, size):
-    return (np.asarray(dup, np.int64) << 48) | (np.asarray(start, np.int64) << 12) | np.asarray(size, np.int64)
+def pack(start, size):
+    return (np.asarray(start, np.int64) << 12) | np.asarray(size, np.int64)
 
 
 def start_of(at: np.ndarray) -> np.ndarray:
-    return (at >> 12) & ((1 << 36) - 1)
+    return at >> 12
 
 
 def earliest_in_batch(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +95,7 @@ def cut(docs: DataFrame, spans: DataFrame, text: bool = False) -> DataFrame:
     def apply(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).cast(pa.large_binary())
-            lists, dups = batch.column("__at"), batch.column("__dup").to_numpy(zero_copy_only=False)
+            lists = batch.column("__at")
             out = []
             for i in range(batch.num_rows):
                 raw = texts[i].as_py() or b""
@@ -91,7 +103,6 @@ def cut(docs: DataFrame, spans: DataFrame, text: bool = False) -> DataFrame:
                 ends, starts = [0], []
                 if at.is_valid:
                     at = np.sort(at.values.to_numpy())
-                    at = at[(at >> 48) == dups[i]]
                     a, b = start_of(at), start_of(at) + (at & SPAN)
                     if len(a):
                         b = np.maximum.accumulate(b)
@@ -105,4 +116,4 @@ def cut(docs: DataFrame, spans: DataFrame, text: bool = False) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: len(cols) + 1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    return both.select("doc_id", "text", "__dup", "__at").mapInArrow(lean(apply), schema)
+    return both.select("doc_id", "text", "__at").mapInArrow(lean(apply), schema)

@@ -12,10 +12,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under the session's spark.checkpoint.dir; where that is unset (as in tests), one of its own."""
+    """This application's folder under the session's spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; a cluster has none
+    that all its machines share, so it is an error there.
+    """
     app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _own[app] = tempfile.mkdtemp(prefix="echotrace-")
     return f"{found.rstrip('/')}/echotrace-{app}"
 

@@ -8,7 +8,8 @@ earlier: in a smaller doc_id, or earlier in the same text; overlaps count.
    bytes.  Equal windows have equal minimizers, so segments can be dealt out by it.
 2. Equal segments collapse to the earliest, within a batch before the shuffle and by
    a window function after it; the others are removed whole.  Segments whose
-   minimizer has no other segment are done.
+   minimizer has no other segment are done.  A minimizer that is common in a sample of
+   the texts is dealt out by the segments' digests and counts as one that has others.
 3. The rest are fetched and dealt to collections by minimizer.  In a collection, only
    segments that agree with another one for (k - m) / 2 bytes on one side of the
    minimizer can share a window; those enter the construction: round j inserts the
@@ -33,12 +34,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spans import FLAG, SELF, SPAN, cut, earliest_in_batch, keyed, pack, start_of
-from .store import release, written
+from .store import forget, release, written
 from .textkit import BLOCK, buffers, lean, mix, prefix_hash, span_hash, window_hash
 
 K, M = 100, 32
 #: Segments of one minimizer beyond which it is split; segments of one construction.
 HOT, COLLECTION = 16_384, 8_192
+#: A minimizer is dealt out over PARTS tasks if it has a 1 / SHARE part of the segments of one text in SAMPLE: at most
+#: SHARE minimizers are.  The sample decides where rows go and changes no result.
+PARTS, SHARE, SAMPLE = 64, 2_048, 16
 _SEED = 11
 
 
@@ -106,18 +110,25 @@ def segment_rows(docs: DataFrame, k: int, m: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, dups = batch.column("__id").to_numpy(), batch.column("__dup").to_numpy().astype(np.int64)
+            ids = batch.column("__id").to_numpy()
             found = []
             for lo, data, off, shift in pieces(batch.column("text"), k):
                 doc, at, size, h1, h2, twice = segments(data, off, k, m)
-                found.append((h1, h2, ids[lo + doc], pack(dups[lo + doc], at - off[doc] + shift, size) | (twice * SELF)))
+                found.append((h1, h2, ids[lo + doc], pack(at - off[doc] + shift, size) | (twice * SELF)))
             if not found:
                 continue
             h1, h2, who, at = (np.concatenate(x) for x in zip(*found))
             h1, at = earliest_in_batch(h1, h2, who, at)
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(who), pa.array(at)], ["h1", "h2", "__id", "at"])
 
-    return docs.select("__id", "__dup", "text").mapInArrow(lean(run), "h1 bigint, h2 bigint, __id bigint, at bigint")
+    return docs.select("__id", "text").mapInArrow(lean(run), "h1 bigint, h2 bigint, __id bigint, at bigint")
+
+
+def common_minimizers(rows: DataFrame, share: int = SHARE) -> list[int]:
+    """The minimizers that hold at least a 1 / share part of the given segments, if that is 64 or more; at most share."""
+    counts = rows.groupBy("h1").agg(F.count("*").alias("n"))
+    total = rows.count()
+    return [r["h1"] for r in counts.filter(F.col("n") >= max(64, -(-total // share))).select("h1").collect()]
 
 
 def transform(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +250,7 @@ def spans_of(who: np.ndarray, offset: np.ndarray, at: np.ndarray, k: int) -> tup
     new = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1))))
     last = np.append(new[1:] - 1, len(who) - 1)
     seg = who[new]
-    return seg, pack(at[seg] >> 48, start_of(at[seg]) + offset[new], offset[last] - offset[new] + k)
+    return seg, pack(start_of(at[seg]) + offset[new], offset[last] - offset[new] + k)
 
 
 def collections(batches, size: int):
@@ -268,15 +279,21 @@ def collections(batches, size: int):
         yield pa.Table.from_batches(held)
 
 
-def copied_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, collection: int = COLLECTION) -> DataFrame:
+def copied_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, collection: int = COLLECTION, share: int = SHARE) -> DataFrame:
     """(__id, at: packed) of spans whose k-byte windows all start earlier too; spans may overlap."""
     if not (k > m >= 8 and (k - m) % 2 == 0 and 2 * k < SPAN):
         raise ValueError("k must exceed m by an even number")
+    some = written(segment_rows(docs.filter(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(SAMPLE)) == 0), k, m).filter(F.col("at").bitwiseAND(FLAG) == 0).select("h1"), "suffix-sample")
+    common = common_minimizers(some, share)
+    forget(some)
     rows = segment_rows(docs, k, m)
-    by = Window.partitionBy("h1").orderBy("h2", "__id", "at")
-    every = Window.partitionBy("h1")
+    deal = F.when(F.col("h1").isin(common), F.pmod(F.col("h2"), F.lit(PARTS)).cast("int")).otherwise(-1) if common else F.lit(-1)
+    rows = rows.withColumn("deal", deal)
+    by = Window.partitionBy("h1", "deal").orderBy("h2", "__id", "at")
+    every = Window.partitionBy("h1", "deal")
     flagged = F.col("at").bitwiseAND(FLAG) != 0
-    rows = rows.select("h1", "__id", "at", (flagged | F.coalesce(F.lag("h2").over(by) == F.col("h2"), F.lit(False))).alias("copy"), ((F.min("h2").over(every) != F.max("h2").over(every)) | (F.col("at").bitwiseAND(SELF) != 0)).alias("several"))
+    several = (F.min("h2").over(every) != F.max("h2").over(every)) | (F.col("at").bitwiseAND(SELF) != 0) | (F.col("deal") >= 0)
+    rows = rows.select("h1", "__id", "at", (flagged | F.coalesce(F.lag("h2").over(by) == F.col("h2"), F.lit(False))).alias("copy"), several.alias("several"))
     found = written(rows.filter("copy OR several").select("h1", "__id", F.col("at").bitwiseAND(~(FLAG | SELF)).alias("at"), "copy"), "suffix-segments")
     release(docs.sparkSession)
 
@@ -305,7 +322,7 @@ def copied_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, collec
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((ids[keep][seg], ids[keep][who[rep]]))),
-                    pa.array(np.concatenate((span, pack(mine >> 48, start_of(mine) + offset[rep], k)))),
+                    pa.array(np.concatenate((span, pack(start_of(mine) + offset[rep], k)))),
                     pa.array(np.concatenate((np.zeros(len(seg), np.int64), d1.view(np.int64)))),
                     pa.array(np.concatenate((np.zeros(len(seg), np.int64), d2.view(np.int64)))),
                     pa.array(np.concatenate((np.zeros(len(seg), bool), np.ones(len(rep), bool)))),
@@ -326,13 +343,12 @@ def _fetch(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, off = buffers(batch.column("text"))
-            dups, lists = batch.column("__dup").to_numpy(), batch.column("__want")
+            lists = batch.column("__want")
             lo = lists.offsets.to_numpy()
             flat = lists.flatten()
             at_all = flat.field("at").to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(lo))
-            mine = np.flatnonzero((at_all >> 48) == dups[row])
-            for some in np.array_split(mine, max(1, len(mine) // 20_000)):
+            for some in np.array_split(np.arange(len(row)), max(1, len(row) // 20_000)):
                 at = at_all[some]
                 size = at & SPAN
                 start = off[row[some]] + start_of(at)
@@ -342,13 +358,13 @@ def _fetch(docs: DataFrame) -> DataFrame:
                 pick = pa.array(some)
                 yield pa.RecordBatch.from_arrays([flat.field("h1").take(pick), flat.field("part").take(pick), batch.column("__id").take(pa.array(row[some])), pa.array(at), data], ["h1", "part", "__id", "at", "bytes"])
 
-    return docs.select("__id", "__dup", "text", "__want").mapInArrow(lean(run), "h1 bigint, part int, __id bigint, at bigint, bytes binary")
+    return docs.select("__id", "text", "__want").mapInArrow(lean(run), "h1 bigint, part int, __id bigint, at bigint, bytes binary")
 
 
-def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, text: bool = False, share: int = SHARE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (with text also spans and kept) of each row of docs."""
     docs = keyed(docs.select("doc_id", "text"))
-    return cut(docs, copied_spans(docs, k, m, hot), text)
+    return cut(docs, copied_spans(docs, k, m, hot, share=share), text)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

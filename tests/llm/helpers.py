@@ -39,10 +39,10 @@ def in_order(rows: list[tuple]) -> list[tuple]:
     return sorted({(r[0], r[1]) for r in rows}, key=lambda x: (x[0] is not None, x[0] or 0))
 
 
-def removed_windows(rows: list[tuple], k: int) -> dict[tuple, tuple]:
-    """(doc_id, text) -> (bytes, removed, spans, digest) if every k-byte string that starts earlier too is removed."""
+def removed_windows(docs: list[tuple], k: int) -> dict[tuple, tuple]:
+    """(doc_id, text) -> (bytes, removed, spans, digest) of distinct documents in order, if every k-byte string that starts earlier too is removed."""
     seen, out = set(), {}
-    for doc_id, text in in_order(rows):
+    for doc_id, text in docs:
         raw = (text or "").encode()
         covered = [False] * len(raw)
         for i in range(len(raw) - k + 1):

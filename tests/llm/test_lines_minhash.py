@@ -2,6 +2,8 @@ import itertools
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from echotrace.llm import components, line_dedup, minhash
 from echotrace.llm.spans import keyed
@@ -38,6 +40,20 @@ def test_line_runs_equal_brute_force(spark, m):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(((r[0], None if want[r[0], r[1]] is None else "\n".join(want[r[0], r[1]])) for r in rows), key=key)
 
 
+def test_runs_of_many_lines(spark):
+    """Runs of 1 to 40 lines, a line that stands everywhere, and a text of one line again and again."""
+    source = [prose(700 + i, 4) for i in range(60)]
+    rows = [(0, "\n".join(source))]
+    rows += [(n, "\n".join([f"own {n}", *source[n // 2 : n // 2 + n], "the common line", f"end {n}", "the common line"])) for n in range(1, 41)]
+    rows += [(50, "\n".join(["again"] * 37)), (51, "\n".join(["again"] * 21))]
+    rows = [(d, t, "en", "s", 1, 1, "r") for d, t in rows]
+    want = plain_lines(rows, 2)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {d: "\n".join(kept) for (d, _), kept in want.items()}
+    depths = [depth for depth, _ in line_dedup.suffix_array(keyed(spark.createDataFrame(rows, DOCS)))]
+    assert depths == [1, 2, 4, 8, 16, 32]
+
+
 def test_line_dedup_may_drop_emptied_texts(spark):
     rows = [(1, "a b\nc d"), (2, "a b\nc d"), (3, ""), (4, None)]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, drop_emptied=True)
@@ -101,13 +117,53 @@ def corpus():
     return rows
 
 
+def found_classes(spark, rows):
+    """(doc_id, text) -> doc_id of the least document of its class, of rows without a doc_id that has two texts."""
+    docs = keyed(spark.createDataFrame(rows, DOCS))
+    by_id = {r["__id"]: (r["doc_id"], r["text"]) for r in docs.select("__id", "doc_id", "text").collect()}
+    return {by_id[r["__id"]]: by_id[r["__class"]][0] for r in minhash.classes(docs).collect()}
+
+
 def test_classes_equal_exact_comparison(spark):
     rows = [r for r in corpus() if r[0] != 12]
+    assert found_classes(spark, rows) == exact_classes(rows)
+
+
+def templated(seed: int, n: int = 150, words: int = 300, shared: int = 2, own: int = 3):
+    """Pairs of texts of one template, each pair with shared and each text with own edits: most links are barely similar enough, and most texts of a bucket are no links."""
+    rng = np.random.default_rng(seed)
+    base, rows = prose(seed, words).split(), []
+    for pair in range(n):
+        both = list(base)
+        for at in rng.choice(words, shared, replace=False):
+            both[at] = f"pair{pair}x{at}"
+        for side in range(2):
+            w = list(both)
+            for at in rng.choice(words, own, replace=False):
+                w[at] = f"own{pair}y{side}z{at}"
+            rows.append((2 * pair + side, " ".join(w), "en", "s", 1, 1, "r"))
+    return rows
+
+
+@pytest.mark.parametrize("own", [3, 4])
+def test_no_link_of_templated_texts_is_lost(spark, own, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 64)  # several blocks and cells, and the rounds of large cells
+    rows = templated(21, own=own)
     want = exact_classes(rows)
-    docs = keyed(spark.createDataFrame(rows, DOCS))
-    got = minhash.classes(docs).join(docs.select("__id", "__dup", "doc_id", "text").distinct(), ["__id", "__dup"]).collect()
-    null = -(2**63)
-    assert {(r["doc_id"], r["text"]): None if r["class_id"] == null else r["class_id"] for r in got} == want
+    assert 1 < len(set(want.values())) < len(rows)
+    assert found_classes(spark, rows) == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2**44 - 1), min_size=1, max_size=300), st.sets(st.integers(0, 2**44 - 1), max_size=60))
+def test_sketches_never_show_more_than_the_difference(a, change):
+    b = a ^ change
+    if b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+        n = np.array([len(a), len(b)])
+        made = [minhash.sketch(np.array(sorted(x), np.uint64)) for x in (a, b)]
+        rate = minhash.near(made, n, np.array([0]), np.array([1]), 0.8)[0]
+        linked = len(a & b) >= 0.8 * len(a | b)
+        assert rate * (n.sum() / 9 + 1e-6) <= len(change) + 1e-6 and (not linked or rate <= 1)
 
 
 def test_dedup_keeps_one_of_each_class(spark):

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from echotrace.llm import cdc_dedup, spans, suffix_dedup
 
-from .helpers import DOCS, awkward, cut, in_order, prose, removed_windows
+from .helpers import DOCS, awkward, cut, prose, removed_windows
 
 
 def by_doc(df):
@@ -33,11 +33,9 @@ def test_transform_is_that_of_sorted_suffixes(strings):
 def test_suffix_dedup_equals_brute_force(spark, hot):
     rows = awkward() + [(20 + i, prose(50 + i % 3, 20) + " shared boilerplate that stands in every single document of this kind, word for word " + prose(60 + i, 20), "en", "s", 1, 1, "r") for i in range(12)]
     df = spark.createDataFrame(rows, DOCS)
-    # two texts under one doc_id come in the order of their hashes, which brute force does not know
-    simple = [r for r in rows if r[0] != 12]
-    got = by_doc(suffix_dedup.dedup(df.filter("doc_id IS NULL OR doc_id <> 12"), hot=hot))
-    assert got == as_rows(simple, removed_windows(simple, 100))
-    assert suffix_dedup.dedup(df, hot=hot).count() == len(rows)
+    want = removed_windows(in_key_order(spark, rows), 100)
+    assert by_doc(suffix_dedup.dedup(df, hot=hot)) == as_rows(rows, want)
+    assert by_doc(suffix_dedup.dedup(df, hot=hot, share=10**6)) == as_rows(rows, want)
 
 
 def test_suffix_dedup_spans_and_texts(spark):
@@ -51,9 +49,28 @@ def test_empty_tables(spark):
     assert suffix_dedup.dedup(none).count() == 0 and cdc_dedup.dedup(none).count() == 0
 
 
-def test_spans_sort_by_dup_and_start():
-    at = spans.pack([0, 0, 1], [5, 1 << 30, 0], [100, 7, 9])
-    assert (np.diff(at) > 0).all() and spans.start_of(at).tolist() == [5, 1 << 30, 0] and (at & spans.SPAN).tolist() == [100, 7, 9]
+def test_spans_sort_by_start():
+    at = spans.pack([0, 5, 1 << 31], [100, 7, 9])
+    assert (np.diff(at) > 0).all() and spans.start_of(at).tolist() == [0, 5, 1 << 31] and (at & spans.SPAN).tolist() == [100, 7, 9]
+
+
+def in_key_order(spark, rows):
+    """The distinct documents in the order of their keys: doc_id, then the hashes of the texts."""
+    found = spans.keyed(spark.createDataFrame(rows, DOCS)).select("__id", "doc_id", "text").distinct().orderBy("__id").collect()
+    ids = [r["doc_id"] for r in found]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    return [(r["doc_id"], r["text"]) for r in found]
+
+
+@pytest.mark.parametrize("operator", [suffix_dedup.dedup, cdc_dedup.dedup])
+def test_many_texts_without_an_id(spark, operator):
+    """40,000 texts under one doc_id, or none, take seconds, and each its own result."""
+    kept = prose(1, 60)
+    texts = [f"{i} {prose(i % 500, 8)} {i * 7919}" for i in range(40_000)]
+    texts[3], texts[39_000], texts[39_999] = kept, kept + " a", "b " + kept
+    rows = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    out = operator(rows).collect()
+    assert len(out) == len(texts) and sum(r["n_removed"] > 0 for r in out) == 2 and sum(r["doc_id"] is None for r in out) == 20_000
 
 
 def chunk_ends(raw):
@@ -68,9 +85,9 @@ def chunk_ends(raw):
 
 
 def test_chunk_dedup_equals_rolling_hash(spark):
-    rows = [r for r in awkward() if r[0] != 12]
+    rows = awkward()
     seen, want = set(), {}
-    for doc_id, text in in_order(rows):
+    for doc_id, text in in_key_order(spark, rows):
         raw, last = (text or "").encode(), 0
         covered = [False] * len(raw)
         for end in chunk_ends(raw):
@@ -81,7 +98,7 @@ def test_chunk_dedup_equals_rolling_hash(spark):
                 seen.add(piece)
             last = end
         want[doc_id, text] = cut(raw, covered)
-    assert by_doc(cdc_dedup.dedup(spark.createDataFrame(rows, DOCS).filter("doc_id IS NULL OR doc_id <> 12"))) == as_rows(rows, want)
+    assert by_doc(cdc_dedup.dedup(spark.createDataFrame(rows, DOCS))) == as_rows(rows, want)
 
 
 def test_chunks_resist_an_insertion():
