@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -18,13 +18,18 @@ SEED = 0xC0FFEE
 
 @lru_cache(maxsize=64)
 def sampled_pairs(n: int, draws: int) -> np.ndarray:
-    """That many pairs of different indices below n; the same for every cloud of n points."""
-    rng = random.Random(SEED)
-    return np.array([rng.sample(range(n), 2) for _ in range(draws)], np.int64).reshape(-1, 2)
+    """That many pairs of different indices below n; the same for every cloud of n points.
+
+    Draw t takes its indices from the first and second 32 bits of md5("SEED|t"), the
+    second index as a distance from the first, so that SQL can state the draws too.
+    """
+    found = [hashlib.md5(f"{SEED}|{t}".encode()).digest() for t in range(draws)]
+    x, y = (np.array([int.from_bytes(d[i : i + 4], "big") for d in found], np.int64) for i in (0, 4))
+    return np.stack((x % n, (x % n + 1 + y % (n - 1)) % n), axis=1)
 
 
-def consensus(points: np.ndarray, draws: int, tol: float, slope_min: float, slope_max: float) -> tuple[np.ndarray, float] | None:
-    """(inliers, slope) of the sampled line with most points within tol; the earliest of equals; None below four."""
+def consensus(points: np.ndarray, draws: int, tol: float, slope_min: float, slope_max: float) -> tuple[np.ndarray, float, float] | None:
+    """(inliers, slope, offset) of the sampled line with most points within tol, at six decimals; the earliest of equals; None below four."""
     if len(points) < 4:
         return None
     x, y = points[:, 0], points[:, 1]
@@ -32,21 +37,21 @@ def consensus(points: np.ndarray, draws: int, tol: float, slope_min: float, slop
     run = x[second] - x[first]
     with np.errstate(divide="ignore", invalid="ignore"):
         slope = (y[second] - y[first]) / run
+        offset = y[first] - slope * x[first]
     fine = np.flatnonzero((np.abs(run) >= 1e-3) & (slope >= slope_min) & (slope <= slope_max))
     # each distinct sample once, at its earliest draw
     _, once = np.unique(first[fine] * len(points) + second[fine], return_index=True)
     fine = fine[np.sort(once)]
-    best, best_count = -1, 3
+    best, most = -1, 3
     for lo in range(0, len(fine), 1024):
         part = fine[lo : lo + 1024]
-        icept = y[first[part]] - slope[part] * x[first[part]]
-        count = (np.abs(y - (slope[part, None] * x + icept[:, None])) <= tol).sum(axis=1)
+        count = (np.round(np.abs(y - (slope[part, None] * x + offset[part, None])), 6) <= tol).sum(axis=1)
         top = int(count.argmax())
-        if count[top] > best_count:
-            best, best_count = int(part[top]), int(count[top])
+        if count[top] > most:
+            best, most = int(part[top]), int(count[top])
     if best < 0:
         return None
-    return np.abs(y - (slope[best] * x + (y[first[best]] - slope[best] * x[first[best]]))) <= tol, float(slope[best])
+    return np.round(np.abs(y - (slope[best] * x + offset[best])), 6) <= tol, float(slope[best]), float(offset[best])
 
 
 def peel(points: np.ndarray, sims: np.ndarray, mirror: np.ndarray, s: Settings) -> list[tuple]:
@@ -62,31 +67,48 @@ def peel(points: np.ndarray, sims: np.ndarray, mirror: np.ndarray, s: Settings)
         (a_lo, b_lo), (a_hi, b_hi) = points[mine].min(axis=0), points[mine].max(axis=0)
         if a_hi - a_lo >= s.min_segment_seconds:
             found.append((float(a_lo), float(a_hi), float(b_lo), float(b_hi), fit[1], bool(mirror[mine].mean() > 0.5), len(mine), float(sims[mine].mean())))
-    return sorted(found, key=lambda x: x[7] * (x[1] - x[0]), reverse=True)
+    return sorted(found, key=lambda x: round(x[7] * (x[1] - x[0]), 6), reverse=True)
 
 
 SEGMENTS = "a int, b int, nth int, a_start double, a_end double, b_start double, b_end double, speed_ratio double, mirrored boolean, inliers int, score double"
 
 
-def peeled_segments(cloud: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """One row for each segment of the given pairs, in order of score times duration (nth).
-
-    A pair's points are handled in the order (ta, tb, sim, mirror), so results do not
-    depend on how the cloud was dealt out.
-    """
+def per_cloud(cloud: DataFrame, pairs: DataFrame, result, schema: str) -> DataFrame:
+    """result(a, b, points, sims, mirror) of each given pair's points, in the order (ta, tb, sim, mirror), so results do not depend on how the cloud was dealt out."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("ta", "tb", "sim", "mirror")])
-        points = np.stack([table.column(c).to_numpy() for c in ("ta", "tb")], axis=1).astype(np.float32)
-        found = peel(points, table.column("sim").to_numpy().astype(np.float32), table.column("mirror").to_numpy().astype(bool), s)
+        points = np.stack([table.column(c).to_numpy() for c in ("ta", "tb")], axis=1).astype(np.float64)
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        return result(a, b, points, table.column("sim").to_numpy().astype(np.float64), table.column("mirror").to_numpy().astype(bool))
+
+    rows = cloud.join(pairs.select("a", "b"), ["a", "b"], "left_semi").select(F.col("a").cast("int"), F.col("b").cast("int"), F.col("ta").cast("double"), F.col("tb").cast("double"), "sim", "mirror")
+    return rows.groupBy("a", "b").applyInArrow(run, schema)
+
+
+def peeled_segments(cloud: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """One row for each segment of the given pairs, in order of score times duration (nth)."""
+
+    def segments(a, b, points, sims, mirror) -> pa.Table:
+        found = peel(points, sims, mirror, s)
         names = ("a_start", "a_end", "b_start", "b_end", "speed_ratio", "mirrored", "inliers", "score")
         kinds = (pa.float64(),) * 5 + (pa.bool_(), pa.int32(), pa.float64())
         cols = {"a": pa.array([a] * len(found), pa.int32()), "b": pa.array([b] * len(found), pa.int32()), "nth": pa.array(range(len(found)), pa.int32())}
         return pa.table(cols | {n: pa.array([f[i] for f in found], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
-    rows = cloud.join(pairs.select("a", "b"), ["a", "b"], "left_semi").select(F.col("a").cast("int"), F.col("b").cast("int"), "ta", "tb", "sim", "mirror")
-    return rows.groupBy("a", "b").applyInArrow(run, SEGMENTS)
+    return per_cloud(cloud, pairs, segments, SEGMENTS)
+
+
+def consensus_lines(cloud: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, alpha, beta, inliers): the sampled line of each given pair that most of its points fit."""
+
+    def line(a, b, points, sims, mirror) -> pa.Table:
+        fit = consensus(points, s.ransac_iters, s.ransac_tol, s.slope_min, s.slope_max)
+        rows = [(a, b, fit[1], fit[2], int(fit[0].sum()))] if fit else []
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64())
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("a", "b", "alpha", "beta", "inliers"), kinds))})
+
+    return per_cloud(cloud, pairs, line, "a int, b int, alpha double, beta double, inliers bigint")
 
 
 def exhaustive_lines(cloud: DataFrame, s: Settings) -> DataFrame:

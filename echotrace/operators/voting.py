@@ -71,10 +71,11 @@ def line_votes(cells: DataFrame, geometry: DataFrame, s: Settings) -> DataFrame:
 
 
 def permuted(pairs: DataFrame, samples: DataFrame, n_perm: int) -> DataFrame:
-    """(a, b, perm, j, tb): the times of b dealt out anew in every trial, in the order of md5 of (a, b, trial, j)."""
+    """(a, b, perm, j, tb): the times of b dealt out anew in every trial, in the order of md5 of (seed of the pair, trial, j)."""
     b = samples.select(F.col("video_id").alias("b"), F.col("pos").alias("from_j"), F.col("ts").cast("double").alias("tb"))
     rows = pairs.select("a", "b").join(b, "b").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    key = F.md5(F.concat_ws("|", "a", "b", "perm", "from_j"))
+    seed = ((F.col("a").cast("bigint") + 1) * 0x7F4A7C15 + F.col("b")).bitwiseAND(F.lit(0xFFFFFFFF))  # pair_seed, in its low bits
+    key = F.md5(F.concat_ws("|", seed, "perm", "from_j"))
     place = F.row_number().over(Window.partitionBy("a", "b", "perm").orderBy(key, "from_j")) - 1
     return rows.select("a", "b", "perm", place.cast("bigint").alias("j"), "tb")
 

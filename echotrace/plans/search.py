@@ -30,15 +30,9 @@ def smooth_segments(frames: DataFrame, s: Settings, neighbours: DataFrame | None
     return hough.aligned_segments(pairs, voting.sampled(frames, s.max_frames), s, own)
 
 
-def smooth_segments_sql(frames: DataFrame, s: Settings, neighbours: DataFrame | None = None) -> DataFrame:
-    """The same with the votes, permutations and extents as relations; permutations are those of md5."""
-    near = knn.located(neighbours if neighbours is not None else knn.self_topk(frames, s), frames)
-    pairs = knn.candidate_pairs(knn.foreign(near), s.min_kmatches)
-    # read by several branches below: kept where memory allows, else on disk
-    pairs, samples = pairs.persist(), voting.sampled(frames, s.max_frames).persist()
-    shape, cells = voting.geometry(pairs, samples, s), voting.cells(pairs, samples, s).persist()
-    null = voting.null_votes(cells, voting.permuted(pairs, samples, s.n_perm), shape, s).persist()
-    tested = voting.significance(voting.line_votes(cells, shape, s), null, shape, s).persist()
+def gated_segments(pairs: DataFrame, samples: DataFrame, s: Settings) -> DataFrame:
+    """The same, with the extents and gates as relations over the matrices' cells."""
+    cells, tested = voting.cells(pairs, samples, s), hough.tested_lines(pairs, samples, s)
     return extent.gated(tested, extent.extent(extent.nearest_in_time(cells, tested, s.tau), s.min_tube_sim), s)
 
 

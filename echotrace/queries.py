@@ -16,7 +16,7 @@ from .functions import scalar
 from .operators import extent, hough, ingest, knn, lines, voting, weights
 from .plans import report, search
 
-S = Settings(min_match_sim=0.2, min_pair_matches=5, generic_max_videos=6, min_kmatches=5, max_frames=40, n_perm=3, idf_k=10, ransac_iters=500, ransac_tol=2.0, min_zscore=1.0, max_pvalue=1.0, min_tube_sim=0.0, min_segment_score=0.01, min_inlier_density=0.01)
+S = Settings(min_match_sim=0.2, min_pair_matches=10, generic_max_videos=6, min_kmatches=5, max_frames=40, n_perm=20, idf_k=10, ransac_tol=2.0, min_zscore=2.0, max_pvalue=0.5, min_tube_sim=0.0, min_segment_score=0.1, min_inlier_density=0.3)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,12 +54,22 @@ def near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return f, knn.located(knn.self_topk(f, S), f)
 
 
+_held: list[DataFrame] = []
+
+
+def held(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables, kept for the branches of one query that read them; what an earlier query kept is let go."""
+    while _held:
+        _held.pop().unpersist()
+    _held.extend(t.persist() for t in tables)
+    return tables
+
+
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(frames, candidate pairs, samples, cells)."""
     f, n = near(spark, sf)
-    pairs = knn.candidate_pairs(knn.foreign(n), S.min_kmatches).persist()
-    samples = voting.sampled(f, S.max_frames).persist()
-    return f, pairs, samples, voting.cells(pairs, samples, S).persist()
+    pairs, samples = held(knn.candidate_pairs(knn.foreign(n), S.min_kmatches), voting.sampled(f, S.max_frames))
+    return f, pairs, samples, voting.cells(pairs, samples, S)
 
 
 R = scalar.round6
@@ -111,7 +121,7 @@ def votes_sql(name: str, cells: str, keys: str) -> str:
 
 
 VOTES = votes_sql("votes", "cells", "a, b")
-PERMUTED = f"""perms AS (SELECT a, b, perm, row_number() OVER (PARTITION BY a, b, perm ORDER BY md5(concat_ws('|', a, b, perm, pos)), pos) - 1 AS j, ts AS tb
+PERMUTED = f"""perms AS (SELECT a, b, perm, row_number() OVER (PARTITION BY a, b, perm ORDER BY md5(concat_ws('|', ((a::BIGINT + 1) * {0x7F4A7C15} + b) & {0xFFFFFFFF}, perm, pos)), pos) - 1 AS j, ts AS tb
   FROM pairs p JOIN samples y ON y.video_id = p.b, (SELECT unnest(range(0, {S.n_perm})) AS perm))"""
 NULLS = "shuffled AS (SELECT c.a, c.b, q.perm, c.i, c.j, c.ta, q.tb, c.w FROM cells c JOIN perms q ON c.a = q.a AND c.b = q.b AND c.j = q.j), " + votes_sql("nulls", "shuffled", "a, b, perm")
 N = float(S.n_perm)
@@ -264,7 +274,7 @@ def a8(spark, sf):
 def _null(spark, sf):
     _, pairs, samples, cells = parts(spark, sf)
     shape = voting.geometry(pairs, samples, S)
-    return cells, shape, voting.null_votes(cells, voting.permuted(pairs, samples, S.n_perm), shape, S).persist()
+    return cells, shape, voting.null_votes(cells, voting.permuted(pairs, samples, S.n_perm), shape, S)
 
 
 @query("w3_permuted_times", f"{BASE}, {PAIRS}, {SAMPLES}, {PERMUTED} SELECT a, b, CAST(perm AS INTEGER) AS perm, j, tb FROM perms")
@@ -280,8 +290,8 @@ def a7(spark, sf):
 
 
 def _tested(spark, sf):
-    cells, shape, null = _null(spark, sf)
-    return cells, voting.significance(voting.line_votes(cells, shape, S), null, shape, S).persist()
+    _, pairs, samples, cells = parts(spark, sf)
+    return cells, hough.tested_lines(pairs, samples, S)
 
 
 @query("a9_perm_pvalue", f"{ALL} SELECT a, b, round(alpha, 6) AS alpha, round(beta, 6) + 0.0 AS beta, round(support, 6) AS support, round(z_score, 6) AS z_score, round(pvalue, 6) AS pvalue, round(null_max, 6) AS null_max FROM tested")
@@ -308,7 +318,8 @@ SEG_ROUNDED = ("speed_ratio", "pvalue", "weighted_support", "z_score")
 
 @query("p9_segment_gates", f"{ALL}, {ALONG}, {GATES} SELECT {SEG} FROM seg")
 def p9(spark, sf):
-    return rounded(search.smooth_segments_sql(frames(spark, sf), S), *SEG_ROUNDED).withColumn("score", F.round("score", 4))
+    _, pairs, samples, _ = parts(spark, sf)
+    return rounded(search.gated_segments(pairs, samples, S), *SEG_ROUNDED).withColumn("score", F.round("score", 4))
 
 
 @query("t4_ranked_pairs", f"{ALL}, {ALONG}, {GATES} SELECT a, b, CAST(row_number() OVER (ORDER BY round(z_score, 6) DESC, a_end - a_start DESC, a, b) AS INTEGER) AS rank, round(z_score, 6) AS z_score FROM seg")
@@ -325,8 +336,8 @@ def k12(spark, sf):
 
 # robust lines
 
-@query("m1_consensus_line", f"{CLOUDS}, {LINES} SELECT * FROM fit")
-def m1(spark, sf):
+@query("x1_exhaustive_line", f"{CLOUDS}, {LINES} SELECT * FROM fit")
+def x1(spark, sf):
     return lines.exhaustive_lines(search.cloud(frames(spark, sf), S), S)
 
 
@@ -337,32 +348,72 @@ def a11(spark, sf):
     return rounded(found.withColumn("score_sum", F.col("score") * F.col("inliers")).drop("score"), "score_sum")
 
 
-@query("m2_ransac_peel")
+def peel_sql(s: Settings) -> str:
+    """Sampled consensus and peeling of a cloud's crowded pairs: the draws as a table, each round's lines, points that fit and points that are left."""
+    ctes = [
+        f"draws AS (SELECT t, ('0x' || substr(h, 1, 8))::BIGINT AS x, ('0x' || substr(h, 9, 8))::BIGINT AS y FROM (SELECT t, md5('{lines.SEED}|' || t) AS h FROM (SELECT unnest(range(0, {s.ransac_iters})) AS t)))",
+        f"left0 AS (SELECT * FROM (SELECT a, b, ta, tb, sim, mirror, count(*) OVER (PARTITION BY a, b) AS n FROM cloud) WHERE n >= {s.min_pair_matches})",
+    ]
+    for r in range(1, s.max_segments + 1):
+        least = 4 if r == 1 else s.min_inliers
+        ctes += [
+            f"p{r} AS (SELECT a, b, ta, tb, sim, mirror, row_number() OVER (PARTITION BY a, b ORDER BY ta, tb, sim, mirror) - 1 AS k, count(*) OVER (PARTITION BY a, b) AS n FROM left{r - 1})",
+            f"d{r} AS (SELECT a, b, i, j, min(t) AS t FROM (SELECT a, b, t, x % n AS i, (x % n + 1 + y % (n - 1)) % n AS j FROM (SELECT DISTINCT a, b, n FROM p{r} WHERE n >= {least}), draws) GROUP BY a, b, i, j)",
+            f"l{r} AS (SELECT a, b, t, slope, tb - slope * ta AS off FROM (SELECT d.a, d.b, t, p.ta, p.tb, (q.tb - p.tb) / (q.ta - p.ta) AS slope FROM d{r} d JOIN p{r} p ON p.a = d.a AND p.b = d.b AND p.k = i JOIN p{r} q ON q.a = d.a AND q.b = d.b AND q.k = j WHERE abs(q.ta - p.ta) >= 1e-3) WHERE slope BETWEEN {s.slope_min} AND {s.slope_max})",
+            f"c{r} AS (SELECT l.a, l.b, t, slope, off, count(*) AS n FROM l{r} l JOIN p{r} p ON p.a = l.a AND p.b = l.b WHERE round(abs(p.tb - (slope * p.ta + off)), 6) <= {s.ransac_tol} GROUP BY ALL)",
+            f"b{r} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n DESC, t) AS o FROM c{r} WHERE n >= 4) WHERE o = 1)",
+            f"u{r} AS (SELECT p.*, slope, round(abs(p.tb - (slope * p.ta + off)), 6) <= {s.ransac_tol} AS fits FROM p{r} p JOIN b{r} b ON p.a = b.a AND p.b = b.b WHERE b.n >= {s.min_inliers})",
+            f"left{r} AS (SELECT a, b, ta, tb, sim, mirror FROM u{r} WHERE NOT fits)",
+        ]
+    each = " UNION ALL ".join(f"SELECT a, b, {r} AS r, min(ta) AS a_start, max(ta) AS a_end, min(tb) AS b_start, max(tb) AS b_end, any_value(slope) AS speed_ratio, avg(mirror) > 0.5 AS mirrored, CAST(count(*) AS INTEGER) AS inliers, avg(sim) AS score FROM u{r} WHERE fits GROUP BY a, b HAVING max(ta) - min(ta) >= {s.min_segment_seconds}" for r in range(1, s.max_segments + 1))
+    ctes.append(f"peeled AS (SELECT *, CAST(row_number() OVER (PARTITION BY a, b ORDER BY round(score * (a_end - a_start), 6) DESC, r) - 1 AS INTEGER) AS nth FROM ({each}))")
+    return ", ".join(ctes)
+
+
+PEELED = "a, b, nth, a_start, a_end, b_start, b_end, round(speed_ratio, 6) AS speed_ratio, mirrored, inliers, round(score * inliers, 6) AS score_sum"
+KEPT = f"kept AS (SELECT * FROM peeled WHERE score >= {S.min_segment_score} AND greatest(a_end - a_start, b_end - b_start) >= {S.min_segment_seconds} AND inliers / greatest(a_end - a_start, b_end - b_start, 1e-3) >= {S.min_inlier_density})"
+QUERY_CLOUD = f"""cloud AS (SELECT -1 AS a, t.video_id AS b, q.ts AS ta, t.ts AS tb, sim, xor(q.mirrored, t.mirrored) AS mirror FROM (
+  SELECT src, tgt, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, tgt) AS rank FROM (
+    SELECT q.frame_id AS src, t.frame_id AS tgt, round(list_inner_product(q.e, t.e), 6) + 0.0 AS sim FROM frames q, frames t WHERE q.video_id = 0)) WHERE rank <= {S.knn}) JOIN frames q ON q.frame_id = src JOIN frames t ON t.frame_id = tgt)"""
+
+
+def _summed(segments: DataFrame) -> DataFrame:
+    """Segments with the sum of their similarities instead of the mean."""
+    return rounded(segments.withColumn("score_sum", F.col("score") * F.col("inliers")).drop("score"), "speed_ratio", "score_sum")
+
+
+@query("m1_consensus_line", f"{CLOUDS}, {peel_sql(S)} SELECT a, b, round(slope, 6) AS alpha, round(off, 6) + 0.0 AS beta, n AS inliers FROM b1")
+def m1(spark, sf):
+    points = search.cloud(frames(spark, sf), S)
+    return rounded(lines.consensus_lines(points, knn.crowded(points, S.min_pair_matches), S), "alpha", "beta")
+
+
+@query("m2_ransac_peel", f"{CLOUDS}, {peel_sql(S)} SELECT {PEELED} FROM peeled")
 def m2(spark, sf):
     points = search.cloud(frames(spark, sf), S)
-    return lines.peeled_segments(points, knn.crowded(points, S.min_pair_matches), S)
+    return _summed(lines.peeled_segments(points, knn.crowded(points, S.min_pair_matches), S))
 
 
-@query("m3_hough_udf")
+@query("m3_hough_udf", f"{ALL}, {ALONG}, {GATES} SELECT {SEG} FROM seg")
 def m3(spark, sf):
     _, pairs, samples, _ = parts(spark, sf)
-    return hough.aligned_segments(pairs, samples, S)
+    return rounded(hough.aligned_segments(pairs, samples, S), *SEG_ROUNDED).withColumn("score", F.round("score", 4))
 
 
-@query("m5_smooth_search")
+@query("m5_smooth_search", f"{ALL}, {ALONG}, {GATES} SELECT {SEG}, CAST(row_number() OVER (ORDER BY seg.z_score DESC, a_end - a_start DESC, a, b) AS INTEGER) AS rank FROM seg")
 def m5(spark, sf):
-    return report.ranked(search.smooth_segments(frames(spark, sf), S))
+    return rounded(report.ranked(search.smooth_segments(frames(spark, sf), S)), *SEG_ROUNDED).withColumn("score", F.round("score", 4))
 
 
-@query("m6_robust_search")
+@query("m6_robust_search", f"{CLOUDS}, {peel_sql(S)}, {KEPT}, best AS (SELECT a, b, CAST(row_number() OVER (ORDER BY max(score * (a_end - a_start)) DESC, a, b) AS INTEGER) AS rank FROM kept GROUP BY a, b) SELECT {PEELED}, rank FROM kept JOIN best USING (a, b)")
 def m6(spark, sf):
-    return report.ranked(search.robust_segments(frames(spark, sf), S.with_(min_segment_seconds=1.0)))
+    return _summed(report.ranked(search.robust_segments(frames(spark, sf), S)))
 
 
-@query("m7_find_query")
+@query("m7_find_query", f"WITH {FRAMES}, {QUERY_CLOUD}, {peel_sql(S)}, {KEPT} SELECT {PEELED} FROM kept")
 def m7(spark, sf):
     f = frames(spark, sf)
-    return search.find_segments(f.filter("video_id = 0"), f, S)
+    return _summed(search.find_segments(f.filter("video_id = 0"), f, S))
 
 
 # scalars

@@ -109,6 +109,17 @@ def test_array_votes_equal_relational_votes(spark, planted):
         for q in np.unique(at[(at >= 0) & (at < g["n_beta"])]):
             want[k, int(q)] = w[at == q].sum()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    null = voting.null_votes(cells, voting.permuted(pairs, samples, s.n_perm), shape, s)
+    relation = voting.significance(voting.line_votes(cells, shape, s), null, shape, s).first()
+    array = hough.tested_lines(pairs, samples, s).first()
+    assert all(array[c] == pytest.approx(relation[c], abs=1e-6) for c in ("a", "b", *hough.TESTED))
+
+
+def test_array_deals_are_those_of_the_relation(spark, planted):
+    samples = voting.sampled(planted, 12)
+    rows = voting.permuted(spark.createDataFrame([(0, 1)], "a int, b int"), samples, 3).orderBy("perm", "j").collect()
+    ts = {r["pos"]: r["ts"] for r in samples.filter("video_id = 1").collect()}
+    assert [r["tb"] for r in rows] == [ts[p] for trial in hough.deals(0, 1, len(ts), 3) for p in trial]
 
 
 def test_planted_copy_is_found_and_others_are_not(spark, planted):
@@ -127,7 +138,8 @@ def test_refined_slope_reaches_one(spark, planted):
 
 def test_relational_search_agrees(spark, planted):
     s = Settings(max_frames=60, n_perm=50)
-    got = search.smooth_segments_sql(planted, s).collect()
+    pairs, samples = spark.createDataFrame([(0, 1)], "a int, b int"), voting.sampled(planted, s.max_frames)
+    got = search.gated_segments(pairs, samples, s).collect()
     assert [(r["a"], r["b"]) for r in got] == [(0, 1)] and got[0]["speed_ratio"] == pytest.approx(0.9875)
 
 
@@ -161,9 +173,9 @@ def test_consensus_and_peeling():
 
 
 def test_small_or_empty_matrices():
-    s, rng = Settings(), np.random.default_rng(0)
-    assert hough.vote(np.arange(3.0), np.arange(9.0), np.ones((3, 9)), s, rng) is None
-    assert hough.vote(np.arange(9.0), np.arange(9.0), np.zeros((9, 9)), s, rng) is None
+    s = Settings()
+    assert hough.tested(0, 1, np.arange(3.0), np.arange(9.0), np.ones((3, 9)), s) is None
+    assert hough.tested(0, 1, np.arange(9.0), np.arange(9.0), np.zeros((9, 9)), s) is None
     assert hough.follow(np.arange(9.0), np.arange(9.0) + 100, np.ones((9, 9)), 1.0, 0.0, 1.0, 0.5) is None
 
 
