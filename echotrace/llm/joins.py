@@ -14,12 +14,14 @@ def join_common(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, to
 
     per_key has one row for each key, and in n how many of the total rows hold that key.
     Rows with a common key are joined where they are, by a broadcast of at most share
-    rows; the others by a shuffle in which no key is large.  Both inputs are read twice.
+    rows; the others by a shuffle in which no key is large.  per_key should be a written
+    table: it is read once more, to see which keys are common (at most share hashes).
     """
-    values = [c for c in per_key.columns if c not in keys]
-    common = F.col(n) * share >= F.lit(total)
-    hot = F.broadcast(per_key.filter(common).select(*keys, F.struct(*values).alias("__hot")))
-    both = rows.join(hot, keys, "left")
-    here = both.filter("__hot IS NOT NULL").select(*rows.columns, *[F.col("__hot")[c].alias(c) for c in values])
-    rest = both.filter("__hot IS NULL").select(*rows.columns).join(per_key.filter(~common), keys)
-    return here.unionByName(rest.select(*rows.columns, *values))
+    key = F.xxhash64(*keys)
+    common = [r[0] for r in per_key.filter(F.col(n) * share >= F.lit(total)).select(key).collect()]
+    if not common:
+        return rows.join(per_key, keys).select(*rows.columns, *[c for c in per_key.columns if c not in keys])
+    here = rows.filter(key.isin(common)).join(F.broadcast(per_key.filter(key.isin(common))), keys)
+    rest = rows.filter(~key.isin(common)).join(per_key.filter(~key.isin(common)), keys)
+    names = [*rows.columns, *[c for c in per_key.columns if c not in keys]]
+    return here.select(*names).unionByName(rest.select(*names))

@@ -11,7 +11,8 @@ score its proportion.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; so is
 everything if nothing can be learned; repeated rows are each predicted; texts of any
-length count whole; extra columns are ignored.
+length count whole; extra columns are ignored.  There is no bound on the number of
+languages of a text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from .textkit import LETTER, Words, blocks, crc32_mod, lean
 BITS = 16
 SMOOTHING = 0.5
 ROUNDS, REFITS, PENALTY = 8, 3, 2.0
-#: Sets of more languages than this are not tried.
-MAX_LANGUAGES = 6
 
 
 def trigrams(w: Words) -> np.ndarray:
@@ -59,7 +58,7 @@ class Model:
         return out
 
 
-def mixture(logs: np.ndarray, count: np.ndarray, rounds: int = ROUNDS, refits: int = REFITS, penalty: float = PENALTY, most: int = MAX_LANGUAGES) -> np.ndarray:
+def mixture(logs: np.ndarray, count: np.ndarray, rounds: int = ROUNDS, refits: int = REFITS, penalty: float = PENALTY) -> np.ndarray:
     """Proportions, languages by texts, of texts of count (at least one) words with the given log-likelihoods."""
     langs, texts = logs.shape[0], len(count)
     like = np.exp(logs - logs.max(axis=0)).astype(np.float32)
@@ -79,7 +78,10 @@ def mixture(logs: np.ndarray, count: np.ndarray, rounds: int = ROUNDS, refits: i
     place = np.empty_like(lead)
     np.put_along_axis(place, lead, np.arange(langs)[:, None].repeat(texts, 1), 0)
     best, best_value = full, np.full(texts, -np.inf)
-    for size in range(1, min(langs, most) + 1):
+    for size in range(1, langs + 1):
+        # a word's likelihood is at most that of its best language, here 1: no larger set can be better where this holds
+        if (best_value >= -penalty * (size - 1) * 0.5 * np.log(np.maximum(count, 2))).all():
+            break
         start = np.where(place < size, np.maximum(full, 1e-6), 0).astype(np.float32)
         share, value = refine(start / start.sum(axis=0), refits if size > 1 else 0)
         value = value - penalty * (size - 1) * 0.5 * np.log(np.maximum(count, 2))

@@ -21,8 +21,7 @@ sketches: the parity of a set's elements in each of 4n bits.  Two sketches diffe
 most as many bits as the sets differ in elements, so a pair whose sketches differ in more
 than a link allows is none, and no link is lost.  The other pairs of different classes are
 checked exactly.  Of a large cell, those go first that would join all classes they can;
-its buckets are searched again with the new classes, and the last time all pairs left are
-checked.  So work is linear in a bucket that one class fills, and quadratic only in texts
+its buckets are searched again with the new classes, and then all pairs left are checked.  So work is linear in a bucket that one class fills, and quadratic only in texts
 of one bucket that are not near-duplicates.
 
 Defined results: texts without a word (null and empty ones too) are classes of their
@@ -48,8 +47,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 5
 #: Members of a block; rows of a cell up to which all its pairs are checked at once.
 BLOCK, SMALL = 256, 32
-#: Pairs that one copy of a pivot's set is moved for.
-SHARED = 256
+#: Tasks that the pairs of one pivot are dealt to.
+DEALT = 64
 _SET_BITS = 44
 #: P(at most i darts in a unit cell).
 _POISSON = np.cumsum([np.exp(-1.0) / p for p in np.cumprod([1.0, *range(1, 16)])])
@@ -196,14 +195,11 @@ def groups(batches, keys: tuple[str, ...]):
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The distinct pairs (u, v) whose shingle sets are at least that similar.
 
-    The set of u is moved once for SHARED pairs, and pairs of one u go to many tasks.
+    The pairs of one u go to at most DEALT tasks; each gets the set of u once.
     """
-    shares = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("parts"), F.count("*").alias("n"))
-    total = pairs.count()
-    dealt = join_common(pairs, shares, ["u"], "n", total).select("u", "v", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"))
-    own = sets.select(F.col("node"), "s")
-    members = dealt.join(own.withColumnRenamed("node", "v").hint("merge"), "v").select("u", "part", "v", "s")
-    pivots = shares.join(own.withColumnRenamed("node", "u").hint("merge"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("v"), "s")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(DEALT)).cast("int"))
+    members = dealt.join(sets.withColumnRenamed("node", "v").hint("merge"), "v").select("u", "part", "v", "s")
+    pivots = dealt.select("u", "part").distinct().join(sets.withColumnRenamed("node", "u").hint("merge"), "u").select("u", "part", F.lit(None).cast("bigint").alias("v"), "s")
     rows = members.unionByName(pivots).repartition("u", "part").sortWithinPartitions("u", "part", "v")
 
     def run(batches):
@@ -361,8 +357,11 @@ def _searched(members: DataFrame, sketches: DataFrame, similarity: float, every:
     return rows.mapInArrow(lean(run), "u bigint, v bigint, key bigint")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(__id, __class) of each distinct document of docs, which must be keyed(): the least __id of its class."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, repeated: bool = True) -> DataFrame:
+    """(__id, __class) of each distinct document of docs, which must be keyed(): the least __id of its class.
+
+    repeated may be False if no __id stands in several rows.
+    """
     spark = docs.sparkSession
     texts = docs.select("__id", "text")
     table = written(_sets_table(texts, bands, rows), "minhash-table")
@@ -374,14 +373,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     release(spark)
     # the sets of all that share a bucket, once for all passes; texts are moved by one plan at every size
     sharing = members.select(F.col("node").alias("__id")).distinct().hint("merge")
-    sets = written(_sets_of(texts.join(sharing, "__id", "left_semi").dropDuplicates(["__id"]).withColumnRenamed("__id", "node")), "minhash-sets")
+    shared = texts.join(sharing, "__id", "left_semi")
+    shared = shared.dropDuplicates(["__id"]) if repeated else shared
+    sets = written(_sets_of(shared.withColumnRenamed("__id", "node")), "minhash-sets")
     release(spark)
     fits = (F.col("p") != F.col("node")) & (F.least("n", "pn") >= similarity * F.greatest("n", "pn") - 1e-9)
     checked = [written(members.filter(fits).select(F.col("p").alias("u"), F.col("node").alias("v")).distinct(), "minhash-pairs")]
     links = written(_linked(checked[0], sets, similarity), "minhash-links")
     release(spark)
     roots, keys, sketches = components(links), None, None
-    for last in (False, False, True):
+    for last in (False, True):
         open_ = members.filter("members > 2")
         if keys is not None:
             open_ = open_.join(keys, "key", "left_semi")
@@ -408,14 +409,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     grouped = written(reps.select("d1", "d2", "node", "copies").join(roots, "node", "left").select("d1", "d2", "copies", F.coalesce("root", "node").alias("__class")), "minhash-classes")
     named = join_common(table.filter("n > 0").select("__id", "d1", "d2"), grouped, ["d1", "d2"], "copies", table.count())
     single = table.filter("n = 0").select("__id", F.col("__id").alias("__class"))
-    return named.select("__id", "__class").unionByName(single).distinct()
+    out = named.select("__id", "__class").unionByName(single)
+    return out.distinct() if repeated else out
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each class: the row with the least doc_id (and text hash) stays."""
     names, repeated = docs.columns, repeats(docs)
     with_key = keyed(docs, repeated)
-    stays = classes(with_key, similarity).filter("__id = __class").select("__id")
+    stays = classes(with_key, similarity, repeated=repeated).filter("__id = __class").select("__id")
     kept = with_key.join(stays, "__id", "left_semi")
     if repeated:  # rows may repeat whole
         kept = kept.dropDuplicates(["__id"])
@@ -425,18 +427,19 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def op2_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     repeated = repeats(docs)
+    kind = dict(docs.dtypes)["doc_id"]
     docs = keyed(docs, repeated)
-    found = classes(docs)
-    out = docs.select("doc_id", "__id").join(found, "__id")
-    if repeated:  # __id numbers the documents: the class is shown by its least document's doc_id
-        found = written(found, "minhash-found")
-        sizes = found.groupBy(F.col("__class").alias("__id")).agg(F.count("*").alias("n"))
-        least = sizes.join(docs.select("__id", "doc_id").distinct(), "__id").select(F.col("__id").alias("__class"), "n", F.col("doc_id").cast("bigint").alias("class_id"))
-        named = join_common(found, written(least, "minhash-least"), ["__class"], "n", found.count())
-        out = docs.select("doc_id", "__id").join(named.select("__id", "__class", "class_id"), "__id")
-    else:
-        out = out.withColumn("class_id", F.when(F.col("__class") != _NULL_ID, F.col("__class")))
-    return out.select("doc_id", "class_id", (F.col("__id") != F.col("__class")).alias("is_copy"))
+    found = classes(docs, repeated=repeated)
+    is_copy = (F.col("__id") != F.col("__class")).alias("is_copy")
+    if not repeated:
+        shown = lambda c, name: F.when(F.col(c) != _NULL_ID, F.col(c)).cast(kind).alias(name)
+        return found.select(shown("__id", "doc_id"), shown("__class", "class_id"), is_copy)
+    # __id numbers the documents: the class is shown by its least document's doc_id
+    found = written(found, "minhash-found")
+    sizes = found.groupBy(F.col("__class").alias("__id")).agg(F.count("*").alias("n"))
+    least = sizes.join(docs.select("__id", "doc_id").distinct(), "__id").select(F.col("__id").alias("__class"), "n", F.col("doc_id").alias("class_id"))
+    named = join_common(found, written(least, "minhash-least"), ["__class"], "n", found.count())
+    return docs.select("doc_id", "__id").join(named, "__id").select("doc_id", "class_id", is_copy)
 
 
 #: Exact: all pairs that share a shingle, and the closure of their links.

@@ -7,9 +7,10 @@ attention (a tanh branch times a sigmoid branch) weighs the passages of a text;
 weighted sum of their codes is scored by a logistic unit.  Labels exist for texts only:
 attention learns which passages matter.
 
-Training runs on the driver on at most ``max_train`` labelled texts, those with the
-least hash of doc_id, each cut to ``max_passages`` evenly spread passages; scoring uses
-all passages of every text.  Only the text enters a score.
+Training runs on the driver on all passages of at most ``max_train`` labelled texts, those
+with the least hash of doc_id; workers turn texts into passages' inputs before the bound
+applies, so no task or driver holds the texts.  Scoring uses all passages of every text.
+Only the text enters a score.
 
 Defined results: null and empty texts are a bag of one empty passage; ids without a
 label, and labels without a text, teach nothing; a doc_id with several labels or rows
@@ -28,7 +29,7 @@ from .textkit import Words, blocks, crc32_mod, lean
 
 PASSAGE = 48
 FEATURES, CODE, HIDDEN = 4096, 48, 32
-MAX_TRAIN, MAX_PASSAGES = 6_000, 24
+MAX_TRAIN = 6_000
 EPOCHS, BATCH, RATE, DECAY = 14, 64, 3e-3, 1e-4
 
 #: Byte classes of which each passage's shares are features, by their place.
@@ -158,31 +159,32 @@ class Network:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """At most that many (text, label) rows, those with the least hashes of doc_id.
+    """(h, doc_id, text, y) of at least that many labelled rows, if there are so many: those with the least hashes h of doc_id.
 
-    The share to take comes from a count, so texts outside it are not sorted or moved.
+    The share to take comes from a count, so texts outside it are not moved.
     """
     named = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
     h = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id")), F.lit(1 << 20))
     n = named.count()
     named = named.filter(h < int(min(1.0, 1.2 * most / max(n, 1)) * (1 << 20)) + 1)
-    return docs.select("doc_id", "text").join(named, "doc_id").orderBy(h, "doc_id", "y").limit(most).select("text", "y")
+    return docs.select("doc_id", "text").join(named, "doc_id").select(h.alias("h"), "doc_id", "text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES) -> Network:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Network:
     net = Network()
 
     def run(batches):
         for batch in batches:
-            rows, ys = [], batch.column("y").to_numpy()
+            rows = []
             for _, _, data, off in blocks(batch.column("text")):
                 doc, x = net.inputs(data, off)
-                for a, b in zip(np.searchsorted(doc, np.arange(len(off) - 1)), np.searchsorted(doc, np.arange(len(off) - 1), "right")):
-                    at = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).astype(int))
-                    rows.append(x[at].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(ys)], ["x", "y"])
+                edge = np.searchsorted(doc, np.arange(len(off)))
+                rows += [x[a:b].astype(np.float32).tobytes() for a, b in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("doc_id"), pa.array(rows, pa.binary()), batch.column("y")], ["h", "doc_id", "x", "y"])
 
-    found = sample(docs, labels, label, max_train).mapInArrow(lean(run), "x binary, y double").toPandas()
+    some = sample(docs, labels, label, max_train)
+    bags = some.mapInArrow(lean(run), f"h bigint, doc_id {dict(some.dtypes)['doc_id']}, x binary, y double")
+    found = bags.orderBy("h", "doc_id", "y", F.xxhash64("x")).limit(max_train).select("x", "y").toPandas()
     bags = [np.frombuffer(x, np.float32).reshape(-1, CODE + N_DENSE) for x in found["x"]]
     order = np.argsort([b.sum(dtype=np.float64) for b in bags], kind="stable")  # the rows come in any order
     net.fit([bags[i] for i in order], found["y"].to_numpy()[order])

@@ -11,7 +11,8 @@ the ranges' totals are summed after it, and no task sees more than one range or
 list of ranges.
 
 Defined results: null text has no tokens, as has an empty one; a table without rows has
-an empty histogram; repeated rows count each; extra columns are ignored.
+an empty histogram; repeated rows count each; extra columns are ignored by ``histogram``
+and kept by ``lengths``, which replaces an ``n_tokens`` that is there.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def parts(text: str, size: int = PART):
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """docs with n_tokens added."""
+    """docs with n_tokens added; a column of that name is replaced."""
+    docs = docs.drop("n_tokens")
     with open(vocabulary, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
     names = docs.columns

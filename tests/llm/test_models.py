@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from echotrace.llm import ann, language_id, quality, token_counts
-from echotrace.llm.textkit import crc32_mod
+from echotrace.llm.textkit import Words, crc32_mod
 
-from .helpers import DOCS, awkward, prose
+from .helpers import DOCS, awkward, plain_language, plain_mixture, plain_model, prose
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,6 +30,32 @@ def test_mixture_finds_proportions():
     assert language_id.mixture(logs[:, :60], np.array([60]))[0, 0] == pytest.approx(1.0)
 
 
+def test_mixture_equals_plain_em():
+    """Texts of 1 to 60 words, and of up to nine languages at once."""
+    rng = np.random.default_rng(4)
+    count = np.array([1, 2, 7, 60, 33])
+    logs = rng.uniform(-12, -4, (9, count.sum()))
+    for i, n in enumerate(np.cumsum(count) - count):  # the last texts mix many languages
+        for k in range(n, n + count[i]):
+            logs[(k - n) % (i * 2 + 1), k] = -0.5
+    share = language_id.mixture(logs, count)
+    want = [plain_mixture(logs[:, a : a + n].T.tolist()) for a, n in zip(np.cumsum(count) - count, count)]
+    assert share.T == pytest.approx(np.array(want), abs=1e-4)
+    assert (share[:, 4] > 0.05).sum() == 9  # no bound on the languages of a text
+
+
+def test_predictions_equal_plain_ones(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = [r for r in sorted(rows) if len(r[1] or "") < 1500][:25] + [(900, "ja oui yes", None), (901, None, "en"), (902, "", "en"), (903, "12 !", "en"), (904, "é", None)]
+    rows.append((905, " ".join(t for _, t, _ in rows[:12] if t), None))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = plain_model([r[1:] for r in rows])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(df, language_id.train(df)).collect()}
+    for doc_id, text, _ in rows:
+        lang, score, _ = plain_language(text, model)
+        assert got[doc_id][0] == lang and got[doc_id][1] == pytest.approx(score, abs=2e-3), doc_id
+
+
 def test_language_edge_cases(spark):
     rows = awkward()
     df = spark.createDataFrame(rows, DOCS)
@@ -67,6 +93,66 @@ def test_quality_gradient():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
 
 
+def plain_quality(net, text):
+    """A text's score, restated passage by passage."""
+    import math
+    import re
+
+    raw = (text or "").encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+    n = max(1, (len(found) + quality.PASSAGE // 2) // quality.PASSAGE)
+    groups = [found[i * quality.PASSAGE : (i + 1) * quality.PASSAGE if i < n - 1 else None] for i in range(n)]
+    edges = [0] + [g[0][0] for g in groups[1:]] + [len(raw)]
+    sets = [range(97, 123), range(65, 91), range(48, 58), b" ", b"\n", b".,;:", b"?!", b"#$%&@*", b"|<>{}[]=_", range(128, 256)]
+    rows = []
+    for g, a, b in zip(groups, edges, edges[1:]):
+        words = [raw[x:y].decode("latin-1") for x, y in g]
+        low = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words]
+        own = raw[a:b]
+        shares = [sum(x in s for x in own) / max(len(own), 1) for s in sets]
+        k = max(len(words), 1)
+        dense = [1 - sum(shares) if own else 0.0, *shares, sum(map(len, words)) / k / 10, sum("A" <= w[0] <= "Z" and "A" <= w[-1] <= "Z" for w in words) / k]
+        dense += [len(set(low)) / k, sum(x == y for x, y in zip(low, low[1:])) / k, min(len(words), quality.PASSAGE) / quality.PASSAGE, math.log1p(len(found)) / 10]
+        code = np.zeros(quality.CODE)
+        for w in low:
+            bucket = int(Words(np.frombuffer(w.encode("latin-1"), np.uint8), np.array([0, len(w)])).hash[0] >> np.uint64(44)) % quality.FEATURES
+            code += net.projection[bucket] / math.sqrt(len(words))
+        rows.append((np.concatenate((code, dense)) - net.mean) / net.spread)
+    p, weights, codes = net.p, [], []
+    for x in rows:
+        h = np.tanh(x @ p["W"] + p["b"])
+        gate = 1 / (1 + np.exp(-(h @ p["U"])))
+        weights.append(math.exp(float(((np.tanh(h @ p["V"]) * gate) @ p["a"])[0])))
+        codes.append(h)
+    z = sum(w * h for w, h in zip(weights, codes)) / sum(weights)
+    return 1 / (1 + math.exp(-float((z @ p["o"])[0] + p["c"][0])))
+
+
+def test_scores_equal_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    net = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    some = docs.orderBy("doc_id").limit(80).unionByName(spark.createDataFrame([(r[0], r[1]) for r in awkward() if r[0] != 12], "doc_id bigint, text string"))
+    got = quality.score(some, net).collect()
+    texts = [(r["doc_id"], r["text"]) for r in some.collect()]
+    want = sorted((d is None, d or 0, plain_quality(net, t)) for d, t in texts)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in got) == [(a, b, pytest.approx(c, abs=1e-3)) for a, b, c in want]
+
+
+def test_training_reads_every_passage(spark):
+    """Labels that show in one late passage of a long text only."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(160):
+        words = prose(i, 4000).split()
+        at = int(rng.integers(1500, 3500))
+        words[at : at + 40] = ["zorp" if i % 2 else "quil"] * 40
+        rows.append((i, " ".join(words), i % 2))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    net = quality.train(df.filter("doc_id < 120"), df.select("doc_id", F.col("y").alias("quality")))
+    got = {r["doc_id"]: r["score"] for r in quality.score(df.filter("doc_id >= 120"), net).collect()}
+    assert np.mean([(s >= 0.5) == bool(d % 2) for d, s in got.items()]) >= 0.9
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame(awkward(), DOCS)
     labels = spark.createDataFrame([(0, 1), (1, 1), (6, 0), (7, 0), (99, 1), (None, 1), (8, None), (8, 1)], "doc_id bigint, quality int")
@@ -105,7 +191,8 @@ def test_token_histogram(spark):
     assert token_counts.suffix_sums(token_counts.histogram(df.filter("false"))).count() == 0
     text = prose(1, 3000)
     assert sum(len(enc.encode_ordinary(p)) for p in token_counts.parts(text, 500)) == len(enc.encode_ordinary(text)) and "".join(token_counts.parts(text, 500)) == text
-    assert token_counts.lengths(df).filter("doc_id = 0").first()["n_tokens"] == n[0]
+    lengths = token_counts.lengths(df.withColumn("n_tokens", F.lit("clash")))
+    assert sorted(lengths.columns) == sorted([*df.columns, "n_tokens"]) and lengths.filter("doc_id = 0").first()["n_tokens"] == n[0]
 
 
 def nearest(ids, x, q, k):

@@ -107,3 +107,35 @@ def test_removal(spark):
     assert not {50, 51, 52} & whole and {0, 3, 53} <= whole
     none = items.filter("false")
     assert decontaminate.remove(spark, docs, none).count() == len(rows) and decontaminate.scan(spark, docs.filter("false"), items).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.5, 1.0])
+def test_removal_does_not_depend_on_blocks(spark, share):
+    """Two items that overlap in a document, and one whose hits only together pass the share."""
+    a, b, x, y = (prose(80 + i, 12).split() for i in range(4))
+    both = a + b
+    items = [(1, " ".join(both[:12])), (2, " ".join(both[6:20])), (3, " ".join(x)), (4, " ".join(y))]
+    rows = [(0, " ".join(both[:20] + prose(90, 60).split())), (1, " ".join(x + prose(91, 8).split() + y + prose(92, 8).split())), (2, " ".join(both[:15])), (3, None), (4, "")]
+    docs, table = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
+    assert len(list(decontaminate.item_blocks(table, 40))) > 4
+    got = [{r["doc_id"]: r["text"] for r in decontaminate.remove(spark, docs, table, max_hit_share=share, max_block_bytes=size).collect()} for size in (40, 1 << 25)]
+    assert got[0] == got[1] and got[0][0].split() == prose(90, 60).split() and (1 in got[0]) == (share == 1.0)
+
+
+def test_a_large_item_is_split_without_losing_a_window():
+    text = prose(95, 500)
+    parts = list(decontaminate.split_item(text, 300, 10))
+    w = text.split()
+    want = {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
+    assert len(parts) > 5 and {tuple(p.split()[i : i + 10]) for p in parts for i in range(len(p.split()) - 9)} == want
+
+
+def test_items_without_an_id(spark):
+    items = spark.createDataFrame([(None, prose(70, 30)), (4, prose(70, 30)), (None, prose(71, 12))], "item_id bigint, text string")
+    got = decontaminate.scan(spark, spark.createDataFrame([(1, prose(70, 30)), (2, prose(71, 12))], "doc_id bigint, text string"), items).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in got} == {1: (30, ["4", None]), 2: (12, [None])}
+
+
+def test_window_set_is_about_four_times_its_text():
+    text = " ".join(prose(i, 2000) for i in range(20))
+    assert decontaminate.WindowSet([("1", text)], 10).nbytes < 5 * len(text)
