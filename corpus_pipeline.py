@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.llm import decontaminate, language_id, line_dedup, minhash, sentencepiece_codec
-from echotrace.llm.store import release, written
+from echotrace.llm.store import forget, release, written
 
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not source:
+            forget(before)
         release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
