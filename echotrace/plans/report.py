@@ -75,7 +75,7 @@ def render(rows: Iterable[Row]) -> str:
     """A text table of ranked segments; z and p only if any segment has them."""
     rows = [r.asDict() for r in rows]
     if not rows:
-        return "No overlapping fragments found."
+        return "Nothing in common."
     extra = [(c, f) for c, f in (("z_score", "{:.1f}"), ("pvalue", "{:.3f}")) if any(r.get(c) is not None for r in rows)]
     out, last = [], None
     for r in rows:

@@ -26,10 +26,15 @@ def small_fingerprints(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha1(F.substring("content", 1, FINGERPRINT_BYTES)).alias("sha1"))
 
 
+def local_path(path: str) -> str:
+    """The path as the worker's file system has it; file: URLs are unpacked."""
+    return unquote(urlparse(path).path) if path.startswith("file:") else path
+
+
 def file_digest(path: str, most: int = FINGERPRINT_BYTES, step: int = 1 << 20) -> str:
     """SHA-1 of at most the first bytes of a file that the worker can open."""
     digest, left = hashlib.sha1(), most
-    with open(unquote(urlparse(path).path) if path.startswith("file:") else path, "rb") as f:
+    with open(local_path(path), "rb") as f:
         while left > 0 and (part := f.read(min(step, left))):
             digest.update(part)
             left -= len(part)

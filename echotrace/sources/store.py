@@ -1,7 +1,7 @@
 """The persistent store: Parquet tables of videos' status and of frames with their vectors.
 
-The catalog is an append-only log (one row for each change; the last one of a video
-counts), frames are partitioned by a bucket of video_id, and vectors live in the frames'
+The catalog is an append-only log (one row for each change; the last one of a path
+counts, so a retry replaces what failed), frames are partitioned by a bucket of video_id, and vectors live in the frames'
 rows, so there are no two files to keep in step.  Searches see frames of complete videos.
 """
 
@@ -53,10 +53,14 @@ class Store:
         return self._read("log", f"{VIDEOS}, seq bigint")
 
     def videos(self) -> DataFrame:
-        """The current row of every video, ordered by id."""
+        """The current row of every path, ordered by id."""
         rows = self.log()
-        last = rows.groupBy("video_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "video_id"]), "seq").alias("r"))
-        return last.select("video_id", "r.*").drop("seq").orderBy("video_id")
+        last = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), F.struct("seq", "video_id")).alias("r"))
+        return last.select("path", "r.*").select(*[c for c in rows.columns if c != "seq"]).orderBy("video_id")
+
+    def known_hashes(self) -> DataFrame:
+        """(sha1) of all videos in the catalog, once each."""
+        return self.videos().filter("sha1 IS NOT NULL").select("sha1").distinct()
 
     def add_videos(self, incoming: DataFrame) -> DataFrame:
         """Gives ids to incoming (path, sha1, duration, width, height) rows and logs them as pending; complete ones keep id and status."""
@@ -94,8 +98,15 @@ class Store:
         out.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/frames")
 
     def frames(self, complete: bool = True) -> DataFrame:
-        rows = self._read("frames", f"{FRAMES}, bucket int").drop("bucket")
-        return rows.join(self.videos().filter("status = 'complete'").select("video_id"), "video_id", "left_semi") if complete else rows
+        rows = self._read("frames", f"{FRAMES}, bucket int")
+        if complete:  # by bucket too, so that buckets without a complete video are not read
+            done = self.videos().filter("status = 'complete'").select("video_id", F.pmod("video_id", F.lit(self.buckets)).alias("bucket"))
+            rows = rows.join(done, ["bucket", "video_id"], "left_semi")
+        return rows.drop("bucket")
+
+    def frames_in(self, buckets: list[int]) -> DataFrame:
+        """The frames of some buckets, complete or not; other buckets' files are not read."""
+        return self._read("frames", f"{FRAMES}, bucket int").filter(F.col("bucket").isin(buckets)).drop("bucket")
 
     def vectors(self, ids: DataFrame) -> DataFrame:
         """(frame_id, embedding) of the given frame_ids."""

@@ -27,38 +27,57 @@ def frame_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 
 
 def write_frames(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Appends the arriving frames to the store until all files that are there have been taken."""
+    """Appends the arriving frames to the store until all files that are there have been taken.
+
+    Each trigger looks for frames that are there already in the buckets of its own videos.
+    """
 
     def append(rows: DataFrame, batch_id: int) -> None:
         key = ["video_id", "ts", "mirrored"]
         rows = rows.dropDuplicates(key).withColumn("ts", F.col("ts").cast("float"))
-        there = store.frames(complete=False).select(*key)
+        buckets = [r[0] for r in rows.select(F.pmod("video_id", F.lit(store.buckets))).distinct().collect()]
+        there = store.frames_in(buckets).select(*key)
         store.add_frames(rows.join(there, key, "left_anti").select("video_id", "ts", "mirrored", "embedding"))
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counters of one video; a row once all expected batches came. What comes later changes nothing."""
-    expected, received, frames, failed, done = state.get if state.exists else (0, 0, 0, False, False)
-    for rows in batches:
-        if done:
-            continue
-        expected = max(expected, int(rows["expected"].max()))
-        received += len(rows)
-        ok = rows["ok"].astype(bool)
-        frames += int(rows.loc[ok & (rows["mirror"] == 0), "n"].sum())
-        failed = bool(failed or (~ok).any())
-    if not done and received >= expected > 0:
-        done = True
-        yield pd.DataFrame({"video_id": [key[0]], "expected": [expected], "received": [received], "n_frames": [frames], "failed": [failed], "status": ["failed" if failed else "complete"]})
-    state.update((expected, received, frames, failed, done))
-
-
-def completed_videos(batches: DataFrame) -> DataFrame:
-    """A stream of batch results (BATCHES) to one row for each video, when its last batch comes."""
+def _counter(keep_ms: int | None):
+    """A state function: counters of one video; a row once all expected batches came. What comes later changes nothing."""
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        expected, received, frames, failed, done = state.get if state.exists else (0, 0, 0, False, False)
+        for rows in batches:
+            if done:
+                continue
+            expected = max(expected, int(rows["expected"].max()))
+            received += len(rows)
+            ok = rows["ok"].astype(bool)
+            frames += int(rows.loc[ok & (rows["mirror"] == 0), "n"].sum())
+            failed = bool(failed or (~ok).any())
+        if not done and received >= expected > 0:
+            done = True
+            yield pd.DataFrame({"video_id": [key[0]], "expected": [expected], "received": [received], "n_frames": [frames], "failed": [failed], "status": ["failed" if failed else "complete"]})
+        state.update((expected, received, frames, failed, done))
+        if done and keep_ms:
+            state.setTimeoutDuration(keep_ms)
+
+    return count
+
+
+def completed_videos(batches: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """A stream of batch results (BATCHES) to one row for each video, when its last batch comes.
+
+    With keep_ms, the state of a finished video goes that long after its last batch; a
+    stream that never ends should set it (one that stops when its input ends must not, as
+    Spark then waits for the time to pass).
+    """
     state = "expected bigint, received bigint, n_frames bigint, failed boolean, done boolean"
-    return batches.groupBy("video_id").applyInPandasWithState(_count, COMPLETED, state, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return batches.groupBy("video_id").applyInPandasWithState(_counter(keep_ms), COMPLETED, state, "append", timeout)
 
 
 class Progress(StreamingQueryListener):

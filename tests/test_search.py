@@ -189,7 +189,7 @@ def test_reports(spark, planted):
     found = report.with_paths(report.ranked(search.smooth_segments(planted, Settings())), spark.createDataFrame([(0, "/v/ä.mp4")], "video_id int, path string"))
     data = json.loads(report.to_json(found))
     assert data[0]["a"] == {"id": 0, "path": "/v/ä.mp4"} and data[0]["b"]["path"] == "?" and set(data[0]["segments"][0]) == {"a_range", "b_range", "speed_ratio", "mirrored", "score", "inliers", "pvalue", "z_score", "weighted_support"}
-    assert "ä.mp4 <-> ?" in report.render(found.collect()) and report.render([]) == "No overlapping fragments found."
+    assert "ä.mp4 <-> ?" in report.render(found.collect()) and report.render([]) == "Nothing in common."
     listed = report.ordered_segments(found.drop("z")).first()
     assert len(listed["segments"]) == 1
     robust = found.drop("pvalue", "z_score", "weighted_support")
