@@ -82,7 +82,8 @@ def plain_model(rows: list[tuple]) -> dict[str, dict]:
             for w in plain_words(text):
                 for g in w:
                     own[g] += 1
-    return {lang: [math.log(x / sum(own)) for x in own] for lang, own in sorted(counts.items())}
+    totals = {lang: math.log(sum(own)) for lang, own in counts.items()}
+    return {lang: [math.log(x) - totals[lang] for x in own] for lang, own in sorted(counts.items())}
 
 
 def plain_mixture(logs: list[list[float]], penalty: float = 2.0) -> list[float]:
