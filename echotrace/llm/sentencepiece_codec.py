@@ -13,6 +13,9 @@ each worker remembers the paths of recent chunks.  (Where a vocabulary has such
 whole texts are single chunks.)  A literal U+2581 is encoded by its bytes, which keeps
 decoding exact.
 
+A model whose normaliser maps characters, drops white space or keeps it as it is, is
+refused, as its texts could not be decoded exactly.
+
 Defined results: null text has null ids, an empty text has no ids; decoding an encoding
 gives the text back; repeated rows are each encoded; extra columns are kept by
 ``encode`` and ``decode``.
@@ -85,7 +88,10 @@ class Codec:
                 scores.append(struct.unpack("<f", part[2])[0] if 2 in part else 0.0)
                 kinds.append(part.get(3, NORMAL))
             elif number == 3:
-                prefix = bool(dict(fields(value)).get(3, 1))
+                rules = dict(fields(value))
+                prefix = bool(rules.get(3, 1))
+                if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError("the model maps characters or drops white space, which this codec does not do")
         self.prefix = SPACE if prefix else ""
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()

@@ -31,6 +31,17 @@ def test_encoding_equals_the_library(spark):
         assert codec.encode(line) == library.encode(line), line
 
 
+def test_models_that_change_texts_are_refused():
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    for change in ({"precompiled_charsmap": b"x"}, {"remove_extra_whitespaces": True}, {"escape_whitespaces": False}):
+        m = pb.ModelProto()
+        m.ParseFromString(sp.model_bytes(sp.MODEL))
+        for k, v in change.items():
+            setattr(m.normalizer_spec, k, v)
+        with pytest.raises(ValueError, match="white space"):
+            sp.Codec(m.SerializeToString())
+
+
 def best_score(codec, scores, chunk):
     best = [0.0] + [float("-inf")] * len(chunk)
     for j in range(1, len(chunk) + 1):
