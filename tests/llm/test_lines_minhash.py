@@ -40,8 +40,10 @@ def test_line_runs_equal_brute_force(spark, m):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(((r[0], None if want[r[0], r[1]] is None else "\n".join(want[r[0], r[1]])) for r in rows), key=key)
 
 
-def test_runs_of_many_lines(spark):
+@pytest.mark.parametrize("small", [line_dedup.SMALL, 0])
+def test_runs_of_many_lines(spark, small, monkeypatch):
     """Runs of 1 to 40 lines, a line that stands everywhere, and a text of one line again and again."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     source = [prose(700 + i, 4) for i in range(60)]
     rows = [(0, "\n".join(source))]
     rows += [(n, "\n".join([f"own {n}", *source[n // 2 : n // 2 + n], "the common line", f"end {n}", "the common line"])) for n in range(1, 41)]
@@ -175,7 +177,9 @@ def test_dedup_keeps_one_of_each_class(spark):
     assert minhash.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [components.SMALL, 0])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
     root = {}
