@@ -191,7 +191,7 @@ def _lists(codec: Codec, texts: list[str | None]) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)), mask=pa.array([t is None for t in texts]) if texts else None)
 
 
-def _slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes of text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
     ends, lo = np.cumsum(sizes), 0
