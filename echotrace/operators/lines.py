@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -111,20 +111,92 @@ def consensus_lines(cloud: DataFrame, pairs: DataFrame, s: Settings) -> DataFram
     return per_cloud(cloud, pairs, line, "a int, b int, alpha double, beta double, inliers bigint")
 
 
+#: Anchors times points of one task of the exhaustive search, and its least anchors, for which all points are sent.
+CELL, LEAST_ANCHORS = 1 << 24, 256
+
+
+def round6(v: np.ndarray) -> np.ndarray:
+    """Six decimals as SQL rounds them: halves of the scaled value go away from zero."""
+    scaled = np.abs(v * 1e6)
+    whole = np.floor(scaled)
+    return np.copysign(whole + (scaled - whole >= 0.5), v) / 1e6 + 0.0
+
+
+def best_line(x: np.ndarray, y: np.ndarray, n: np.ndarray, anchors: np.ndarray, tol: float, slope_min: float, slope_max: float) -> tuple[float, float, int] | None:
+    """(slope, offset, inliers) of the line with most points among those through an anchor and a later point; None below four.
+
+    The points (x, y), each there n times, differ and ascend.  A point is within the tolerance of an
+    anchor's line for an interval of slopes, so the sorted ends of the intervals count all of its lines
+    at once.  The intervals are wider than what rounding can move; lines that could be the best by that
+    count are counted again point by point.
+    """
+    wide = tol + 2e-6 + 2.0**-46 * (1 + max(abs(slope_min), abs(slope_max))) * max(np.abs(x).max(), np.abs(y).max())
+    # equal weights, the usual case, need no order of their own
+    steps = np.arange(len(x) + 1) * n[0] if (n == n[0]).all() else None
+
+    def ends(v: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if steps is not None:
+            return np.sort(v), steps
+        order = np.argsort(v)
+        return v[order], np.concatenate(([0], np.cumsum(weights[order])))
+
+    best, most = None, 3
+    for i in anchors:
+        left, right = np.searchsorted(x, x[i], "left"), np.searchsorted(x, x[i], "right")
+        run, rise = x - x[i], y - y[i]
+        first = right + np.searchsorted(run[right:], 1e-3, "left")
+        slopes = round6(rise[first:] / run[first:])
+        slopes = slopes[(slopes >= slope_min) & (slopes <= slope_max)]
+        if not len(slopes):
+            continue
+        run, rise, weights = (np.concatenate((v[:left], v[right:])) for v in (run, rise, n))
+        with np.errstate(over="ignore"):
+            middle, half = rise / run, wide / np.abs(run)
+        lo, hi = middle - half, middle + half
+        near = np.flatnonzero((hi >= slope_min) & (lo <= slope_max))
+        (lo, begun), (hi, over) = ends(lo[near], weights[near]), ends(hi[near], weights[near])
+        at_most = n[left:right][np.abs(y[left:right] - y[i]) <= wide].sum() + begun[np.searchsorted(lo, slopes, "right")] - over[np.searchsorted(hi, slopes, "left")]
+        # the highest counts first, of equals the smaller slopes: what comes after a line that holds its count can't win a tie
+        fine = np.flatnonzero(at_most >= max(most, 4))
+        order = fine[np.lexsort((slopes[fine], -at_most[fine]))]
+        for k in order:
+            if at_most[k] < most or best and at_most[k] == most and slopes[k] > best[0]:
+                continue
+            slope = slopes[k]
+            offset = round6(y[i] - slope * x[i])
+            count = int(n[round6(np.abs(y - (slope * x + offset))) <= tol].sum())
+            if count > most or best and count == most and (slope, offset) < best[:2]:
+                best, most = (float(slope), float(offset), count), count
+    return best
+
+
 def exhaustive_lines(cloud: DataFrame, s: Settings) -> DataFrame:
     """(a, b, alpha, beta, inliers): of all lines through two points of a pair, the one with most points within the tolerance.
 
-    Lines are compared at six decimals; ties go to the smaller slope, then offset.
+    Lines are compared at six decimals; ties go to the smaller slope, then offset.  A pair's distinct
+    points are sent to as many tasks as their squared number needs; each takes its share of them as
+    anchors, so no table of lines is made.
     """
-    points = cloud.select("a", "b", "ta", "tb")
-    other = points.select("a", "b", F.col("ta").alias("ta2"), F.col("tb").alias("tb2"))
-    two = points.distinct().join(other.distinct(), ["a", "b"]).filter(F.col("ta2") - F.col("ta") >= 1e-3)
-    alpha = F.round((F.col("tb2") - F.col("tb")) / (F.col("ta2") - F.col("ta")), 6)
-    lines = two.withColumn("alpha", alpha).filter(F.col("alpha").between(s.slope_min, s.slope_max)).withColumn("beta", F.round(F.col("tb") - F.col("alpha") * F.col("ta"), 6)).select("a", "b", "alpha", "beta").distinct()
-    fits = F.round(F.abs(F.col("tb") - (F.col("alpha") * F.col("ta") + F.col("beta"))), 6) <= s.ransac_tol
-    counted = lines.join(points, ["a", "b"]).filter(fits).groupBy("a", "b", "alpha", "beta").agg(F.count("*").alias("inliers"))
+    kinds = dict(cloud.dtypes)
+    schema = f"a {kinds['a']}, b {kinds['b']}, alpha double, beta double, inliers bigint"
+
+    def line(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("ta", "ascending"), ("tb", "ascending")])
+        x, y, n = (table.column(c).to_numpy() for c in ("ta", "tb", "n"))
+        anchors = np.arange(key[2].as_py(), len(x), table.column("parts")[0].as_py())
+        found = best_line(x, y, n, anchors, s.ransac_tol, s.slope_min, s.slope_max)
+        values = [[key[0].as_py(), key[1].as_py(), *found]] if found else []
+        types = (table.schema.field("a").type, table.schema.field("b").type, pa.float64(), pa.float64(), pa.int64())
+        return pa.table({c: pa.array([v[i] for v in values], t) for i, (c, t) in enumerate(zip(("a", "b", "alpha", "beta", "inliers"), types))})
+
+    points = cloud.select("a", "b", F.col("ta").cast("double").alias("ta"), F.col("tb").cast("double").alias("tb")).dropna()
+    counted = points.groupBy("a", "b", "ta", "tb").agg(F.count("*").alias("n"))
+    size = F.count("*").over(Window.partitionBy("a", "b"))
+    dealt = counted.withColumn("parts", F.ceil(size / F.greatest(F.lit(LEAST_ANCHORS).cast("double"), CELL / size)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # few bytes, much work: a fixed number of partitions, which are not joined by their size
+    spread = dealt.repartition(4 * cloud.sparkSession.sparkContext.defaultParallelism, "a", "b", "part")
     best = F.max_by(F.struct("alpha", "beta", "inliers"), F.struct("inliers", -F.col("alpha"), -F.col("beta")))
-    return counted.groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.*").filter("inliers >= 4")
+    return spread.groupBy("a", "b", "part").applyInArrow(line, schema).groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.*")
 
 
 def segment_summary(cloud: DataFrame, lines: DataFrame, s: Settings) -> DataFrame:

@@ -343,7 +343,7 @@ def x1(spark, sf):
 
 @query("a11_segment_summary", f"{CLOUDS}, {LINES} SELECT c.a, c.b, alpha AS speed_ratio, min(ta) AS a_start, max(ta) AS a_end, min(tb) AS b_start, max(tb) AS b_end, avg(mirror) > 0.5 AS mirrored, count(*) AS inliers, round(sum(sim), 6) AS score_sum FROM cloud c JOIN fit l ON c.a = l.a AND c.b = l.b WHERE round(abs(tb - (alpha * ta + beta)), 6) <= {S.ransac_tol} GROUP BY c.a, c.b, alpha")
 def a11(spark, sf):
-    points = search.cloud(frames(spark, sf), S)
+    (points,) = held(search.cloud(frames(spark, sf), S))
     found = lines.segment_summary(points, lines.exhaustive_lines(points, S), S)
     return rounded(found.withColumn("score_sum", F.col("score") * F.col("inliers")).drop("score"), "score_sum")
 

@@ -6,6 +6,7 @@ import pytest
 from echotrace.config import Settings
 from echotrace.operators import extent, hough, knn, lines, voting, weights
 from echotrace.plans import report, search
+from echotrace.queries import S
 
 RNG = np.random.default_rng(4)
 SCHEMA = "frame_id bigint, video_id int, ts double, mirrored int, embedding array<double>"
@@ -172,6 +173,34 @@ def test_consensus_and_peeling():
     assert lines.peel(short, np.ones(7, np.float32), np.zeros(7, bool), s.with_(min_pair_matches=4)) == []
 
 
+CLOUD_SCHEMA = "a int, b int, ta double, tb double, sim double, mirror int"
+
+
+@pytest.fixture(scope="module")
+def large_pair():
+    """4,000 points, millions of lines, 200 points on one of them."""
+    rng = np.random.default_rng(12)
+    noise, x = rng.integers(0, 5000, (3800, 2)) * 0.5, rng.choice(np.arange(0, 1500), 200, replace=False) * 1.0
+    return [(0, 1, float(a), float(b), 0.5, 0) for a, b in np.concatenate([noise, np.stack((x, 1.25 * x + 40), axis=1)])]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_of_a_large_pair(spark, large_pair):
+    """The points are joined with the best line only, not with all lines."""
+    cloud = spark.createDataFrame(large_pair, CLOUD_SCHEMA)
+    found = lines.segment_summary(cloud, lines.exhaustive_lines(cloud, S), S)
+    assert plan_of(found).count("Join") == 1
+    (r,) = found.collect()
+    (line,) = lines.exhaustive_lines(cloud, S).collect()
+    points = np.array([x[2:4] for x in large_pair])
+    on = points[np.round(np.abs(points[:, 1] - (line.alpha * points[:, 0] + line.beta)), 6) <= S.ransac_tol]
+    assert r.inliers == line.inliers == len(on) >= 200 and r.speed_ratio == line.alpha and not r.mirrored
+    assert (r.a_start, r.b_start) == tuple(on.min(axis=0)) and (r.a_end, r.b_end) == tuple(on.max(axis=0))
+
+
 def test_small_or_empty_matrices():
     s = Settings()
     assert hough.tested(0, 1, np.arange(3.0), np.arange(9.0), np.ones((3, 9)), s) is None
