@@ -1,12 +1,13 @@
 import json
 
+import duckdb
 import numpy as np
 import pytest
 
 from echotrace.config import Settings
 from echotrace.operators import extent, hough, knn, lines, voting, weights
 from echotrace.plans import report, search
-from echotrace.queries import S
+from echotrace.queries import LINES, S
 
 RNG = np.random.default_rng(4)
 SCHEMA = "frame_id bigint, video_id int, ts double, mirrored int, embedding array<double>"
@@ -173,9 +174,38 @@ def test_consensus_and_peeling():
     assert lines.peel(short, np.ones(7, np.float32), np.zeros(7, bool), s.with_(min_pair_matches=4)) == []
 
 
+def cloud_rows(kind, rng):
+    """Match clouds (a, b, ta, tb, sim, mirror) of three pairs; points stand more than once."""
+    out = []
+    for b, n in ((1, 90), (2, 60), (3, 3)):
+        if kind == "grid":  # equal times, and distances of just the tolerance
+            points = rng.integers(0, 24, (n, 2)) * 0.5
+        elif kind == "level":  # every line holds every point
+            points = np.stack((rng.permutation(n) * 0.5, rng.integers(0, 2, n) * 0.5 + 7), axis=1) * [0.02, 1]
+        else:
+            points = rng.integers(0, 400, (n, 2)) * (0.5 if kind == "sparse" else 0.123)
+        points = np.concatenate([points, points[: n // 3], points[: n // 3]])
+        out += [(0, b, float(x), float(y), 0.5, int(x) % 2) for x, y in points]
+    return out
+
+
 CLOUD_SCHEMA = "a int, b int, ta double, tb double, sim double, mirror int"
 
 
+@pytest.mark.parametrize("cell", [1 << 24, 500])
+@pytest.mark.parametrize("kind", ["grid", "level", "sparse", "odd"])
+def test_exhaustive_lines_are_those_of_sql(spark, monkeypatch, kind, cell):
+    monkeypatch.setattr(lines, "CELL", cell)
+    monkeypatch.setattr(lines, "LEAST_ANCHORS", 5)
+    rows = cloud_rows(kind, np.random.default_rng(11))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE cloud (a INTEGER, b INTEGER, ta DOUBLE, tb DOUBLE, sim DOUBLE, mirror INTEGER)")
+    con.executemany("INSERT INTO cloud VALUES (?, ?, ?, ?, ?, ?)", rows)
+    want = con.execute(f"WITH {LINES} SELECT a, b, alpha, beta + 0.0, inliers FROM fit ORDER BY a, b").fetchall()
+    found = lines.exhaustive_lines(spark.createDataFrame(rows, CLOUD_SCHEMA), S)
+    assert sorted(tuple(r) for r in found.collect()) == want and want
+
+
 @pytest.fixture(scope="module")
 def large_pair():
     """4,000 points, millions of lines, 200 points on one of them."""
@@ -201,6 +231,16 @@ def test_summary_of_a_large_pair(spark, large_pair):
     assert (r.a_start, r.b_start) == tuple(on.min(axis=0)) and (r.a_end, r.b_end) == tuple(on.max(axis=0))
 
 
+def test_exhaustive_lines_of_a_large_pair(spark, large_pair):
+    """No table of lines is made and joined with the points."""
+    found = lines.exhaustive_lines(spark.createDataFrame(large_pair, CLOUD_SCHEMA), S)
+    assert "Join" not in plan_of(found)
+    ((_, _, alpha, beta, inliers),) = found.collect()
+    points = np.array([r[2:4] for r in large_pair])
+    assert inliers == (np.round(np.abs(points[:, 1] - (alpha * points[:, 0] + beta)), 6) <= S.ransac_tol).sum()
+    assert inliers >= max((np.abs(points[:, 1] - (1.25 * points[:, 0] + o)) <= S.ransac_tol).sum() for o in np.unique(points[-200:, 1] - 1.25 * points[-200:, 0])) and abs(alpha - 1.25) < 0.01
+
+
 def test_small_or_empty_matrices():
     s = Settings()
     assert hough.tested(0, 1, np.arange(3.0), np.arange(9.0), np.ones((3, 9)), s) is None
