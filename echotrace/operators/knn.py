@@ -26,21 +26,34 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+#: Columns of a product whose largest value stands for them all in the first selection.
+GROUP = 16
+
+
 def best(y: np.ndarray, x: np.ndarray, k: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of y, row of x, similarity) of the k rows of x with the largest rounded inner product for each row of y.
 
     Earlier rows of x win ties.  One single-precision product finds all that could be among
     the best, by the error bound of such a product; those are multiplied again in double.
+    The k-th largest of the largest values of groups of columns is a bar that no neighbour is under.
     barred marks pairs that do not count.
     """
-    rough = y.astype(np.float32) @ x.astype(np.float32).T
+    n, n_groups = len(x), -(-len(x) // GROUP)
+    rough = np.empty((len(y), GROUP * n_groups), np.float32)
+    np.matmul(y.astype(np.float32), x.astype(np.float32).T, out=rough[:, :n])
+    rough[:, n:] = -np.inf
     if barred is not None:
-        rough[barred] = -np.inf
-    n = rough.shape[1]
+        rough[:, :n][barred] = -np.inf
     length = lambda v: np.sqrt((v * v).sum(axis=1))
     slack = (x.shape[1] * 2.0**-22 * length(y) * length(x).max(initial=0) + 2e-6).astype(np.float32)
-    bar = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(y), -np.inf, np.float32)
-    row, col = np.nonzero((rough >= (bar - slack)[:, None]) & (rough > -np.inf))
+    # k groups reach the bar, so k rows do; only groups that come near it are looked into
+    tops = np.fmax.reduce(rough.reshape(len(y), GROUP, n_groups), axis=1)
+    bar = (np.partition(tops, n_groups - k, axis=1)[:, n_groups - k] if n_groups > k else np.full(len(y), -np.inf, np.float32)) - slack
+    row, group = np.nonzero((tops >= bar[:, None]) & (tops > -np.inf))
+    col = group[:, None] + n_groups * np.arange(GROUP)
+    found = rough[row[:, None], col]
+    at, nth = np.nonzero((found >= bar[row, None]) & (found > -np.inf))
+    row, col = row[at], col[at, nth]
     sims = np.concatenate([np.einsum("ij,ij->i", y[row[i : i + 65536]], x[col[i : i + 65536]]) for i in range(0, len(row), 65536)]) if len(row) else np.zeros(0)
     sims = np.round(sims, 6) + 0.0
     order = np.lexsort((col, -sims, row))
@@ -86,7 +99,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int | None =
         order = np.argsort(c.column("frame_id").to_numpy(), kind="stable")
         ids, x, src, y = c.column("frame_id").to_numpy()[order], matrix(c.column("embedding"))[order], q.column("frame_id").to_numpy(), matrix(q.column("embedding"))
         own, other = (q.column("video_id").to_numpy(), c.column("video_id").to_numpy()[order]) if exclude_same_video else (None, None)
-        out, step = [], max(1, min(1024, (1 << 24) // len(x)))
+        out, step = [], max(1, min(1024, (1 << 23) // len(x)))
         for lo in range(0, len(y), step):
             row, col, sims = best(y[lo : lo + step], x, k, own[lo : lo + step, None] == other if exclude_same_video else None)
             out.append((src[lo + row], ids[col], sims))

@@ -146,7 +146,8 @@ def best_line(x: np.ndarray, y: np.ndarray, n: np.ndarray, anchors: np.ndarray,
         run, rise = x - x[i], y - y[i]
         first = right + np.searchsorted(run[right:], 1e-3, "left")
         slopes = round6(rise[first:] / run[first:])
-        slopes = slopes[(slopes >= slope_min) & (slopes <= slope_max)]
+        # in order, for the searches below go fast through ordered values
+        slopes = np.sort(slopes[(slopes >= slope_min) & (slopes <= slope_max)])
         if not len(slopes):
             continue
         run, rise, weights = (np.concatenate((v[:left], v[right:])) for v in (run, rise, n))

@@ -59,6 +59,24 @@ def test_fewer_rows_than_k_and_none(spark):
     assert knn.topk(df.filter("false"), df, 3).count() == 0 and knn.topk(df, df.filter("false"), 3).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 163, 2000])
+@pytest.mark.parametrize("share", [None, 0.3, 1.0])
+def test_best_rows_are_found_without_ordering_whole_rows(monkeypatch, n, share):
+    """Ties, near ties, widths that no group divides, and barred pairs; only the groups' largest values are partitioned."""
+    rng, k, seen = np.random.default_rng(n), 11, []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda v, *a, **b: seen.append(v.size) or partition(v, *a, **b))
+    for x in (rng.standard_normal((n, 8)), rng.integers(-1, 2, (n, 3)) * 1.0, 1 + 1e-6 * rng.standard_normal((n, 4))):
+        y = np.concatenate([x[:20], rng.standard_normal((5, x.shape[1]))])
+        barred = None if share is None else rng.random((len(y), n)) < share
+        sims = np.round(np.einsum("id,jd->ijd", y, x).sum(axis=2), 6) + 0.0
+        order = [[j for j in np.lexsort((np.arange(n), -sims[i])) if barred is None or not barred[i, j]][:k] for i in range(len(y))]
+        row, col, found = knn.best(y, x, k, barred)
+        assert [(i, j) for i, js in enumerate(order) for j in js] == list(zip(row.tolist(), col.tolist()))
+        assert np.allclose(found, sims[row, col], atol=2e-6)
+        assert not seen or max(seen) <= len(y) * -(-n // 8)
+
+
 def test_excluding_the_own_video(spark):
     df = spark.createDataFrame(rows_of({0: RNG.standard_normal((6, 4)), 1: RNG.standard_normal((6, 4))}), SCHEMA)
     near = knn.located(knn.topk(df, df, 4, exclude_same_video=True), df)
